@@ -289,12 +289,3 @@ def _(s):
 @query("common_currency", "SELECT subject_key, CASE WHEN exp_n > 0 AND act_n > 0 THEN exp_currency END AS common_currency FROM subjects_all")
 def _(s):
     return m.common_currency(subjects(s))
-
-
-@query("batch_summary", f"""SELECT s.*, c.opened AS cases_opened, c.reused AS cases_reused FROM ({SUMMARY_SQL.format(src='results_b')}) s
-JOIN (SELECT count(*) FILTER (occurrence_count = 1) AS opened, count(*) FILTER (occurrence_count > 1) AS reused FROM cases_b) c ON true""")
-def _(s):
-    from settlespark.plans.cases import detected_b
-    detections = detected_b(s).groupBy("batch_id").agg(
-        F.count_if(~F.col("reused")).alias("cases_opened"), F.count_if("reused").alias("cases_reused"))
-    return m.batch_summary(results(s, WINDOW_B, "rbat_b")).join(detections, "batch_id")
