@@ -229,9 +229,9 @@ FROM ledger_transactions WHERE source_type = 'PAYMENT'"""
 
 CTE["state_history"] = """
 SELECT 'psh_' || k || '_' || n AS id, pid AS payment_id, f AS from_state, t AS to_state, trig AS trigger_type,
-  'req_' || k || '_' || n AS trigger_ref, at AS occurred_at
+  'req_' || k || '_' || n AS trigger_ref, happened AS occurred_at
 FROM (
-  SELECT k, id AS pid, 1 AS n, CAST(NULL AS VARCHAR) AS f, 'CREATED' AS t, created_at AS at, 'API' AS trig FROM payments WHERE k % 107 <> 11
+  SELECT k, id AS pid, 1 AS n, CAST(NULL AS VARCHAR) AS f, 'CREATED' AS t, created_at AS happened, 'API' AS trig FROM payments WHERE k % 107 <> 11
   UNION ALL SELECT k, id, 2, 'CREATED', 'FAILED', created_at + INTERVAL 2 HOUR, 'WEBHOOK' FROM payments WHERE k % 20 = 0
   UNION ALL SELECT k, id, 2, 'CREATED', 'AUTHORIZED', created_at, 'API' FROM payments WHERE k % 20 >= 2 AND k % 101 <> 7
   UNION ALL SELECT k, id, 3, CASE WHEN k % 103 = 9 THEN 'CREATED' ELSE 'AUTHORIZED' END, 'CAPTURED', captured_at, 'WEBHOOK' FROM payments WHERE k % 20 >= 3
