@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SIGNED = "case when direction = normal_side then amount_minor else -amount_minor end"
 
@@ -81,11 +81,11 @@ def page(df: DataFrame, at: str, columns: list[str], limit: int, after: tuple[st
     """Newest first by (``at``, id), strictly after the cursor; one row of look-ahead sets ``has_more``."""
     if after is not None:
         df = df.filter(F.struct(at, "id") < F.struct(F.lit(after[0]).cast("timestamp_ntz").alias(at), F.lit(after[1]).alias("id")))
-    ahead = df.orderBy(F.col(at).desc(), F.col("id").desc()).limit(limit + 1)
-    count = ahead.agg((F.count(F.lit(1)) > limit).alias("has_more"))
-    # At most limit + 1 rows on one side and a single row on the other.
-    rows = ahead.orderBy(F.col(at).desc(), F.col("id").desc()).limit(limit)
-    return rows.select(*columns).join(F.broadcast(count), F.lit(True))
+    newest = [F.col(at).desc(), F.col("id").desc()]
+    ahead = df.orderBy(*newest).limit(limit + 1)
+    # The window sees at most limit + 1 rows.
+    seen = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    return ahead.withColumn("has_more", seen > limit).orderBy(*newest).limit(limit).select(*columns, "has_more")
 
 
 def account_statement_page(entries: DataFrame, account_code: str, currency: str, limit: int = 50,

@@ -6,10 +6,11 @@ so a merchant with any number of payments is many rows and never one array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from settlespark.functions.ordered import row_numbers, running_sums
 from settlespark.session import written
+from settlespark.vocab import dimension
 
 
 def payout_request_checks(requests: DataFrame, lines: DataFrame, payments: DataFrame, paid_lines: DataFrame) -> DataFrame:
@@ -50,44 +51,52 @@ def build_payouts(checks: DataFrame, lines: DataFrame, payments: DataFrame) -> D
 
 
 def payout_cash_check(checks: DataFrame, balances: DataFrame) -> DataFrame:
-    """Accepted requests take cash of their currency in payout order; one that asks for more than is left is refused and takes nothing.
+    """Accepted requests take cash of their currency in payout order; one asking for more than is left is
+    refused and takes nothing.
 
-    While the cash left is at least 2^j, every request below 2^j fits, and one accepted request of 2^j or more
-    leaves less than 2^(j+1) - 2^j.  So a single pass of running sums, one per power of two, is enough:
-    each power is settled by one aggregate per currency, and there are at most as many powers as bits in the cash.
+    While at least 2^j is left, every request below 2^j fits, and the first larger one that fits leaves less
+    than 2^j.  So one pass of running sums, one per power of two, and one aggregate per power settle the whole
+    sequence exactly.  What reaches the driver is one row per currency of the fixed vocabulary.
     """
     asks = checks.filter("verdict = 'ACCEPTED'").select("payout_id", "currency", F.col("total_net_minor").alias("ask"))
-    cash = balances.filter("account_id = 'acct_platform_cash'").select("currency", F.greatest("balance_minor", F.lit(0)).alias("cash"))
-    bits = range(41)  # amounts are at most 10^12 < 2^40 each; larger cash starts in the top class
-    below = {f"b{j}": F.expr(f"case when ask < {2**j} then ask else 0 end") for j in bits}
-    run = running_sums(asks, ["currency"], ["payout_id"], below)
-    run = written(run.withColumn("sums", F.array(*[f"b{j}" for j in bits])).drop(*below), "payout_asks")
-
-    # One row per currency: cash left, last payout decided, and what the small requests had summed to by then.
-    state = cash.select("currency", F.col("cash").alias("left"), F.lit("").alias("decided"), F.array(*[F.lit(0).cast("bigint")] * len(bits)).alias("base"))
-    taken = None
-    for j in reversed(bits):
-        level = F.lit(2**j)
-        here = run.join(F.broadcast(state.filter(F.col("left") >= level)), "currency").filter("payout_id > decided")
-        before = F.col("sums")[j] - F.col("base")[j] - F.when(F.col("ask") < level, F.col("ask")).otherwise(F.lit(0))
-        after = F.col("left") - before - F.col("ask")
-        # The class ends with the first request that fits and leaves less than 2^j.
-        ends = here.withColumn("after", after).filter((F.col("after") >= 0) & (F.col("after") < level))
-        end = ends.groupBy("currency").agg(F.min_by(F.struct("payout_id", "after", "sums"), "payout_id").alias("end")).select(
-            "currency", F.col("end.payout_id").alias("end_id"), F.col("end.after").alias("end_left"), F.col("end.sums").alias("end_sums"))
-        span = here.join(F.broadcast(end), "currency", "left").filter("end_id is null or payout_id <= end_id")
-        fits = span.filter((F.col("ask") < level) | (F.col("payout_id") == F.col("end_id"))).select("payout_id")
-        taken = fits if taken is None else taken.unionByName(fits)
-        moved = state.join(end, "currency", "left")
-        closed = F.col("left") >= level
-        # Without an end the class consumes every remaining request: nothing is left to decide below it.
-        state = written(moved.select(
-            "currency", F.when(closed, F.coalesce("end_left", F.lit(-1))).otherwise(F.col("left")).cast("bigint").alias("left"),
-            F.coalesce("end_id", "decided").alias("decided"), F.coalesce("end_sums", "base").alias("base")), "payout_cash")
-    free = run.filter("ask = 0").select("payout_id")
-    accepted = taken.unionByName(free).distinct().withColumn("fits", F.lit(True))
-    return run.select("payout_id", "currency", F.col("ask").alias("total_net_minor")).join(accepted, "payout_id", "left").select(
-        "payout_id", "currency", "total_net_minor", F.expr("case when fits then 'EXECUTABLE' else 'INSUFFICIENT_CASH' end").alias("verdict"))
+    cash = balances.filter("account_id = 'acct_platform_cash'").select("currency", "balance_minor").collect()
+    left = {r.currency: max(r.balance_minor, 0) for r in cash}
+    top = max([v.bit_length() for v in left.values()], default=0)
+    small = {f"b{j}": F.expr(f"case when ask < {2**j} then ask else 0 end") for j in range(top)}
+    run = running_sums(asks, ["currency"], ["payout_id"], small) if small else asks
+    run = written(run.select("payout_id", "currency", "ask", F.array(*small).alias("sums")), "payout_asks")
+
+    decided = dict.fromkeys(left, "")
+    base = {c: [0] * top for c in left}
+    spans = []
+    active = [c for c in left if left[c] > 0]
+    while active:
+        # Each currency stands in the class of its own highest power; every round lowers that power.
+        level = {c: left[c].bit_length() - 1 for c in active}
+        state = dimension(
+            run.sparkSession, [(c, left[c], decided[c], base[c][level[c]], level[c], 2 ** level[c]) for c in active],
+            "currency, left, decided, base, class, level")
+        here = run.join(F.broadcast(state), "currency").filter("payout_id > decided").withColumn(
+            "after", F.expr("left - (sums[class] - base - case when ask < level then ask else 0 end) - ask"))
+        ends = {
+            r.currency: r.end
+            for r in here.filter("after >= 0 and after < level").groupBy("currency")
+            .agg(F.min_by(F.struct("payout_id", "after", "sums"), "payout_id").alias("end")).collect()
+        }
+        for c in active:
+            end = ends.get(c)
+            spans.append((c, decided[c], end.payout_id if end else None, 2 ** level[c]))
+            # Without an end every request up to the last is decided.
+            left[c], decided[c], base[c] = (end.after, end.payout_id, end.sums) if end else (0, decided[c], base[c])
+        active = [c for c in active if left[c] > 0]
+
+    spans = dimension(run.sparkSession, spans or [("-", "", "", 0)], "span_currency, after_id, end_id, level")
+    inside = (F.col("currency") == F.col("span_currency")) & (F.col("payout_id") > F.col("after_id")) & (
+        F.col("end_id").isNull() | (F.col("payout_id") <= F.col("end_id")))
+    fits = F.expr("ask = 0 or coalesce(ask < level or payout_id = end_id, false)")
+    return run.join(F.broadcast(spans), inside, "left").select(
+        "payout_id", "currency", F.col("ask").alias("total_net_minor"),
+        F.when(fits, "EXECUTABLE").otherwise("INSUFFICIENT_CASH").alias("verdict"))
 
 
 def payout_with_lines(records: DataFrame, lines: DataFrame) -> DataFrame:

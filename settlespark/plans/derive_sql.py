@@ -326,14 +326,17 @@ _NAMES = re.compile(r"\b[a-z_0-9]+\b")
 
 
 def sql(body: str) -> str:
-    needed: set[str] = set()
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
-        for name in set(_NAMES.findall(text)):
-            if name in CTE and name not in needed:
-                needed.add(name)
+        for name in sorted(set(_NAMES.findall(text))):
+            if name in CTE and name not in ordered:
                 visit(CTE[name])
+                ordered.append(name)
 
     visit(body)
-    parts = [f"{name} AS ({CTE[name].strip()})" for name in CTE if name in needed]
+    parts = [f"{name} AS ({CTE[name].strip()})" for name in ordered]
+    if "RECURSIVE " in body:
+        # The body brings its own recursive expression after the shared ones.
+        return "WITH RECURSIVE " + ",\n".join([*parts, body.strip().removeprefix("RECURSIVE ")])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()

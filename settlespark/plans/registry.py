@@ -20,7 +20,7 @@ def query(key: str, sql: str | None = None):
         assert key not in _QUERIES, key
         _QUERIES[key] = lambda spark, sf_dir: fn(Scenario(spark, sf_dir))
         if sql:
-            _SQL[key] = with_prefix(sql)
+            _SQL[key] = sql
         return fn
 
     return wrap
@@ -39,4 +39,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return {key: with_prefix(body) for key, body in _SQL.items()}
