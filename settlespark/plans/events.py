@@ -24,7 +24,7 @@ def provider_events(s: Scenario) -> DataFrame:
 @query("parse_provider_events", """SELECT id, CASE WHEN NOT json_valid(body) THEN 'NOT_JSON' END AS reject_reason, j->>'$.type' AS event_type,
   strptime(j->>'$.occurredAt', '%Y-%m-%dT%H:%M:%SZ') AS occurred_at, j->>'$.providerTransactionId' AS provider_transaction_id, j->>'$.merchantReference' AS merchant_reference,
   CAST(j->>'$.gross.amountMinor' AS BIGINT) AS gross_minor, CAST(j->>'$.fee.amountMinor' AS BIGINT) AS fee_minor, CAST(j->>'$.net.amountMinor' AS BIGINT) AS net_minor,
-  j->>'$.gross.currency' AS currency, j->>'$.status' AS status, j->>'$.settlement.providerSettlementId' AS settlement_id, json_array_length(j, '$.settlement.lines') AS settlement_lines
+  j->>'$.gross.currency' AS currency, j->>'$.status' AS status, j->>'$.settlement.providerSettlementId' AS settlement_id, CAST(json_array_length(j, '$.settlement.lines') AS BIGINT) AS settlement_lines
 FROM (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM deliveries)""")
 def _(s):
     return g.parse_provider_events(s.deliveries).select(
@@ -176,10 +176,10 @@ def incoming(s: Scenario) -> DataFrame:
         "validity", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(copy)").alias("received_at"))
 
 
-@query("ingest_settlements", "SELECT provider, provider_settlement_id, currency, validity FROM event_verdicts WHERE num % 5 <> 0")
+@query("ingest_settlements", "SELECT provider, provider_settlement_id, currency, validity FROM event_verdicts WHERE num % 3 <> 0")
 def _(s):
     new = incoming(s)
-    stored = new.filter("num % 5 = 0")
+    stored = new.filter("num % 3 = 0")
     return g.ingest_settlements(new, stored).select("provider", "provider_settlement_id", "currency", "validity")
 
 
