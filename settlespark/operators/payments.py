@@ -120,8 +120,8 @@ def final_states(marks: DataFrame, start: str = "CREATED") -> DataFrame:
 # ------------------------------------------------------------------ provider side
 
 
-def provider_status_upsert(events: DataFrame) -> DataFrame:
-    """Latest figures by arrival; the status never falls back in rank; the first capture time is kept.
+def provider_status_partials(events: DataFrame) -> DataFrame:
+    """What one lot of events says about each transaction.  Lots can be merged in any order.
 
     ``events``: provider, provider_transaction_id, merchant_reference, gross/fee/net minor, currency, status, occurred_at,
     received_at, delivery_id; rows without gross or net carry no figures and are left out.
@@ -132,11 +132,23 @@ def provider_status_upsert(events: DataFrame) -> DataFrame:
         F.expr(RANK.format("coalesce(status, 'CAPTURED')")).alias("rank"), "occurred_at",
         F.struct("received_at", "delivery_id").alias("seq"))
     latest = F.max_by(F.struct("merchant_reference", "gross_minor", "fee_minor", "net_minor", "currency"), "seq").alias("latest")
-    per = figures.groupBy(*KEY).agg(latest, F.max("rank").alias("rank"), F.min_by("occurred_at", "seq").alias("captured_at"))
+    return figures.groupBy(*KEY).agg(
+        latest, F.max("seq").alias("last_seq"), F.max("rank").alias("rank"),
+        F.min_by("occurred_at", "seq").alias("captured_at"), F.min("seq").alias("first_seq"))
+
+
+def merge_provider_status(partials: DataFrame) -> DataFrame:
+    per = partials.groupBy(*KEY).agg(
+        F.max_by("latest", "last_seq").alias("latest"), F.max("rank").alias("rank"), F.min_by("captured_at", "first_seq").alias("captured_at"))
     states = ", ".join(f"'{x}'" for x in vocab.PAYMENT_STATES)
     return per.select(*KEY, "latest.*", F.expr(f"element_at(array({states}), rank)").alias("provider_status"), "captured_at")
 
 
+def provider_status_upsert(events: DataFrame) -> DataFrame:
+    """Latest figures by arrival; the status never falls back in rank; the first capture time is kept."""
+    return merge_provider_status(provider_status_partials(events))
+
+
 def provider_claims_from_settlement(records: DataFrame, lines: DataFrame, payments: DataFrame, existing: DataFrame) -> DataFrame:
     """A provider row for each line whose transaction has none yet, in the record's currency; time and
     reference come from our payment where there is one.  The lowest (record, line) speaks for a transaction."""

@@ -45,11 +45,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def write_new(df: DataFrame, label: str) -> str:
+    path = new_path(df.sparkSession, label)
+    df.write.mode("error").parquet(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and go on from the stored columns.
 
     Everything computed downstream then sees one and the same data, also after an executor is lost.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_new(df, label))

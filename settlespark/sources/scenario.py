@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from settlespark.functions.crypto import hmac_sha256
 from settlespark.functions.money import half_up_fee, minor_units
 from settlespark.operators import postings, settlement
-from settlespark.session import written
+from settlespark.session import write_new
 from settlespark import vocab
 
 WEBHOOK_SECRET = "whsec_scenario"
@@ -27,11 +28,8 @@ WINDOW_B = ("1998-01-01 00:00:00", "2002-01-01 00:00:00")
 RETENTION_DAYS = 7
 
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
+# (application, input folder, table) → (path, schema)
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class stored(cached_property):
@@ -53,8 +51,15 @@ class Scenario:
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _stored:
-            _stored[key] = written(build(), name)
-        return _stored[key]
+            df = build()
+            _stored[key] = (write_new(df, name), df.schema)
+        path, schema = _stored[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def path_of(self, name: str) -> str:
+        """Folder of a stored table, for reading it as a stream."""
+        getattr(self, name)
+        return _stored[(self.spark.sparkContext.applicationId, self.sf_dir, name)][0]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
