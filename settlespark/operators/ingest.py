@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from settlespark import vocab
 from settlespark.functions.crypto import hmac_sha256, sha256_text
 from settlespark.functions.keyed import first_per_key, mark_first
+from settlespark.functions.once import once
 from settlespark.session import written
 
 _MONEY = "struct<amountMinor bigint, currency string>"
@@ -35,10 +36,15 @@ def _occurred_at(parsed: str = "p") -> Column:
     return F.expr(f"try_cast(replace(substring({parsed}.occurredAt, 1, 19), 'T', ' ') as timestamp_ntz)").alias("occurred_at")
 
 
+def _with_parsed(deliveries: DataFrame) -> DataFrame:
+    return deliveries if "p" in deliveries.columns else once(deliveries, "p", parsed_body())
+
+
 def parse_provider_events(deliveries: DataFrame) -> DataFrame:
     """Typed columns beside ``reject_reason``; good events are the rows where it is null."""
-    return deliveries.withColumn("p", parsed_body()).withColumn("reject_reason", body_problem()).select(
-        *[c for c in deliveries.columns if c not in ("body",)], "body", "reject_reason", F.col("p.type").alias("event_type"), _occurred_at(),
+    kept = [c for c in deliveries.columns if c != "p"]
+    return once(_with_parsed(deliveries), "reject_reason", body_problem()).select(
+        *kept, "reject_reason", F.col("p.type").alias("event_type"), _occurred_at(),
         F.col("p.providerTransactionId").alias("provider_transaction_id"), F.col("p.merchantReference").alias("merchant_reference"),
         F.col("p.gross.amountMinor").alias("gross_minor"), F.col("p.fee.amountMinor").alias("fee_minor"), F.col("p.net.amountMinor").alias("net_minor"),
         F.col("p.gross.currency").alias("currency"), F.col("p.status").alias("status"), F.col("p.settlement").alias("settlement"))
@@ -65,33 +71,27 @@ def filter_event_freshness(deliveries: DataFrame) -> DataFrame:
     return deliveries.filter(is_fresh())
 
 
-def rejection(secret: str) -> Column:
-    """The first refusal that applies to a delivery, row by row; null when it is a genuine event."""
-    def blank(name: str) -> Column:
-        return F.trim(F.coalesce(name, F.lit(""))) == ""
-
-    return (
-        F.when(F.col("body_bytes") > vocab.MAX_BODY_BYTES, "REJECTED_TOO_LARGE")
-        .when(blank("event_id") | blank("timestamp") | blank("signature"), "REJECTED_MALFORMED")
-        .when(~is_fresh(), "REJECTED_TIMESTAMP")
-        .when(~signature_matches(secret), "REJECTED_SIGNATURE")
-        .when(body_problem().isNotNull(), "REJECTED_MALFORMED")
-    )
-
-
 HTTP_STATUS = """case outcome when 'ACCEPTED' then 202 when 'DUPLICATE' then 200 when 'REJECTED_TOO_LARGE' then 413
     when 'REJECTED_MALFORMED' then 400 else 401 end"""
 
 
 def checked_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
-    """Row-local part of the classification; also what the stream applies."""
-    return deliveries.withColumn("p", parsed_body()).withColumn("rejection", rejection(secret)).withColumn(
-        "signature_valid", F.expr("rejection is null or (rejection = 'REJECTED_MALFORMED' and p is not null and event_id is not null)")
-        & is_fresh() & signature_matches(secret)).drop("p")
+    """Row-local part of the classification, also what the stream applies: the parsed body ``p``, the first
+    refusal that applies (null for a genuine event) and whether the signature was found good."""
+    def blank(name: str) -> Column:
+        return F.trim(F.coalesce(name, F.lit(""))) == ""
+
+    facts = F.struct(
+        (F.col("body_bytes") > vocab.MAX_BODY_BYTES).alias("large"), (blank("event_id") | blank("timestamp") | blank("signature")).alias("blank"),
+        is_fresh().alias("fresh"), signature_matches(secret).alias("signed"), body_problem().alias("problem"))
+    return once(once(deliveries, "p", parsed_body()), "c", facts).withColumn("rejection", F.expr("""case
+        when c.large then 'REJECTED_TOO_LARGE' when c.blank then 'REJECTED_MALFORMED' when not c.fresh then 'REJECTED_TIMESTAMP'
+        when not c.signed then 'REJECTED_SIGNATURE' when c.problem is not null then 'REJECTED_MALFORMED' end""")).withColumn(
+        "signature_valid", F.expr("not coalesce(c.large, false) and not c.blank and c.fresh and c.signed")).drop("c")
 
 
 def classify_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
-    marked = mark_first(checked_deliveries(deliveries, secret), EVENT_KEY, ["received_at", "id"], "id", "first", F.col("rejection").isNull())
+    marked = mark_first(checked_deliveries(deliveries, secret).drop("p"), EVENT_KEY, ["received_at", "id"], "id", "first", F.col("rejection").isNull())
     outcome = F.expr("case when rejection is not null then rejection when first then 'ACCEPTED' else 'DUPLICATE' end")
     return marked.withColumn("outcome", outcome).withColumn("http_status", F.expr(HTTP_STATUS)).drop("first", "rejection")
 
