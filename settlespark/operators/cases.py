@@ -90,7 +90,7 @@ def apply_case_commands(cases: DataFrame, commands: DataFrame) -> DataFrame:
         F.min_by("command", F.when(closing, F.col("seq"))).alias("closed_by"),
         F.min(F.when(opening, F.col("seq"))).alias("investigated_seq"))
     start = cases.select(F.col("id").alias("case_id"), F.col("status").alias("start_status"))
-    df = checked.join(marks, "case_id").join(start, "case_id", "left")
+    df = checked.join(marks.join(start, "case_id", "left"), "case_id")
     df = df.withColumn("met", F.expr("""case
         when start_status is null or start_status in ('RESOLVED', 'WRITTEN_OFF') then start_status
         when closed_seq < seq then case closed_by when 'RESOLVE' then 'RESOLVED' else 'WRITTEN_OFF' end

@@ -52,7 +52,7 @@ def ledger_empty_headers(headers: DataFrame, entries: DataFrame) -> DataFrame:
 
 def ledger_account_code_breaks(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     named = accounts.select(F.col("id").alias("account_id"), F.col("code").alias("real_code"))
-    return entries.join(F.broadcast(named), "account_id").filter("account_code <> real_code").select(
+    return entries.join(named, "account_id").filter("account_code <> real_code").select(
         F.col("id").alias("entry_id"), "account_id", "account_code", "real_code")
 
 
@@ -90,7 +90,7 @@ def asset_negative_balances(entries: DataFrame, accounts: DataFrame) -> DataFram
     """Entries after which an asset account stands below zero.  A handful of accounts carry all entries,
     so the running sum goes over slices of an account rather than the account."""
     assets = accounts.filter("account_type = 'ASSET'").select(F.col("id").alias("account_id"), "normal_side")
-    signed = entries.join(F.broadcast(assets), "account_id").select(
+    signed = entries.join(assets, "account_id").select(
         "account_id", "currency", "posted_at", "transaction_id", "line_no",
         F.expr("case when direction = normal_side then amount_minor else -amount_minor end").alias("signed_minor"))
     run = running_sums(signed, ["account_id", "currency"], ["posted_at", "transaction_id", "line_no"], {"balance_minor": F.col("signed_minor")})

@@ -21,7 +21,7 @@ def seed_balances(accounts: DataFrame, currencies: DataFrame) -> DataFrame:
 def _recomputed(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     sides = accounts.select(F.col("id").alias("account_id"), "normal_side")
     return (
-        entries.join(F.broadcast(sides), "account_id").groupBy("account_id", "currency")
+        entries.join(sides, "account_id").groupBy("account_id", "currency")
         .agg(F.sum(F.expr(SIGNED)).alias("balance_minor"), F.count(F.lit(1)).alias("entry_count"), F.max("posted_at").alias("last_entry_at"))
     )
 
@@ -39,7 +39,7 @@ def trial_balance(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """Debits, credits and their difference per currency and account type, with the currency's own total."""
     types = accounts.select(F.col("id").alias("account_id"), "account_type")
     return (
-        entries.join(F.broadcast(types), "account_id").rollup("currency", "account_type")
+        entries.join(types, "account_id").rollup("currency", "account_type")
         .agg(F.sum(F.expr("case when direction = 'DEBIT' then amount_minor else 0 end")).alias("debits"),
              F.sum(F.expr("case when direction = 'CREDIT' then amount_minor else 0 end")).alias("credits"))
         .filter("currency is not null")
@@ -53,7 +53,7 @@ def _compared(stored: DataFrame, entries: DataFrame, accounts: DataFrame) -> Dat
     real = _recomputed(entries, accounts).select(
         "account_id", "currency", F.col("balance_minor").alias("recomputed_minor"), F.col("entry_count").alias("actual_count"))
     names = accounts.select(F.col("id").alias("account_id"), F.col("code").alias("account_code"))
-    joined = kept.join(real, ["account_id", "currency"], "full_outer").join(F.broadcast(names), "account_id")
+    joined = kept.join(real, ["account_id", "currency"], "full_outer").join(names, "account_id")
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("projected_minor", "projected_count", "recomputed_minor", "actual_count")}
     return joined.withColumn("has_projection", F.col("projected_count").isNotNull()).withColumns(zero)
 
@@ -95,7 +95,8 @@ def account_statement_page(entries: DataFrame, account_code: str, currency: str,
 
 
 def nested_entries() -> Column:
-    """The entries of one transaction in line order.  A transaction is a single posting of a few legs."""
+    """The entries of one transaction in line order.  Line numbers are unique per transaction and fit a 16-bit
+    number by the schema, which bounds the list."""
     return F.to_json(F.array_sort(F.collect_list(F.struct("line_no", "account_code", "direction", "amount_minor"))))
 
 

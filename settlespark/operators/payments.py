@@ -84,11 +84,11 @@ def fold_payment_events(events: DataFrame, payments: DataFrame) -> DataFrame:
     """
     seq = F.struct(F.col("received_at").alias("t"), F.col("delivery_id").alias("id")).alias("seq")
     ordered = events.select("event_id", "payment_id", "target_state", seq)
-    df = ordered.join(event_marks(ordered), "payment_id").join(
-        payments.select(F.col("id").alias("payment_id"), F.col("state").alias("state")), "payment_id")
-    df = df.withColumns(_reached())
-    df = df.withColumn("refunded_seq", F.expr(
+    # One row per payment on this side before it meets the events, so a hot payment is a join Spark can split.
+    course = event_marks(ordered).join(payments.select(F.col("id").alias("payment_id"), "state"), "payment_id")
+    course = course.withColumns(_reached()).withColumn("refunded_seq", F.expr(
         "case when state = 'REFUNDED' then captured_seq when captured_seq is not null and r is not null then greatest(captured_seq, r) end"))
+    df = ordered.join(course, "payment_id")
     # The state an event meets when it arrives, before it acts.
     df = df.withColumn("met", F.expr("""case
         when failed_seq < seq then 'FAILED' when refunded_seq < seq then 'REFUNDED'

@@ -140,7 +140,7 @@ def drop_double_postings(headers_: DataFrame) -> DataFrame:
 def reject_unpostable_entries(entries_: DataFrame, accounts: DataFrame) -> DataFrame:
     known = accounts.select(F.col("id").alias("account_id"), F.col("state").alias("account_state"))
     return (
-        entries_.join(F.broadcast(known), "account_id", "left")
+        entries_.join(known, "account_id", "left")
         .withColumn("reject_reason", F.when(F.col("account_state").isNull(), "UNKNOWN_ACCOUNT")
                     .when(F.col("account_state") != "ACTIVE", "ACCOUNT_NOT_ACTIVE"))
         .filter("reject_reason is not null")

@@ -42,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    # Folders starting with an underscore count as hidden.
+    return os.path.join(shared_folder(spark), f"{label.lstrip('_')}-{uuid.uuid4().hex}")
 
 
 def write_new(df: DataFrame, label: str) -> str:

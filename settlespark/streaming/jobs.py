@@ -153,7 +153,7 @@ def run_payment_state(deliveries: DataFrame, secret: str) -> DataFrame:
 def run_balances(entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """Running balance per account and currency; the few groups are combined per task before the state is touched."""
     sides = accounts.select(F.col("id").alias("account_id"), "normal_side")
-    live = entries.join(F.broadcast(sides), "account_id").groupBy("account_id", "currency").agg(
+    live = entries.join(sides, "account_id").groupBy("account_id", "currency").agg(
         F.sum(F.expr(SIGNED)).alias("balance_minor"), F.count(F.lit(1)).alias("entry_count"))
     return last_epoch(run_epochs(live, "balances", "update"), ["account_id", "currency"])
 
