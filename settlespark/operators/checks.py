@@ -10,13 +10,14 @@ from settlespark.functions.keyed import repeated_keys
 from settlespark.functions.ordered import running_sums
 from settlespark.vocab import dimension
 
-_DEBITS = F.sum(F.when(F.col("direction") == "DEBIT", F.col("amount_minor")).otherwise(0))
-_CREDITS = F.sum(F.when(F.col("direction") == "CREDIT", F.col("amount_minor")).otherwise(0))
+
+def _total(direction: str) -> Column:
+    return F.sum(F.when(F.col("direction") == direction, F.col("amount_minor")).otherwise(0))
 
 
 def ledger_unbalanced(entries: DataFrame) -> DataFrame:
     return (
-        entries.groupBy("transaction_id").agg(_DEBITS.alias("debits"), _CREDITS.alias("credits"))
+        entries.groupBy("transaction_id").agg(_total("DEBIT").alias("debits"), _total("CREDIT").alias("credits"))
         .filter("debits <> credits").withColumn("difference", F.expr("debits - credits"))
     )
 

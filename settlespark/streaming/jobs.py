@@ -20,7 +20,6 @@ from settlespark.session import new_path
 from settlespark.sources.scenario import deliveries_from_events
 
 EVENT_KEY = ingest.EVENT_KEY
-REDELIVERY_HORIZON = "21 days"
 
 
 def streaming_session(spark: SparkSession) -> SparkSession:
@@ -90,10 +89,20 @@ def genuine(deliveries: DataFrame, secret: str) -> DataFrame:
     return ingest.checked_deliveries(deliveries, secret).filter("rejection is null")
 
 
-def stream_dedupe_events(deliveries: DataFrame, secret: str, horizon: str = REDELIVERY_HORIZON) -> DataFrame:
-    """One event per (provider, event_id); ids are remembered for as long as a redelivery can arrive."""
-    timed = genuine(deliveries, secret).withColumn("seen_at", F.col("received_at").cast("timestamp"))
-    return timed.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(EVENT_KEY).select(*EVENT_KEY, "body")
+def first_copies(events: DataFrame, horizon: str | None = None) -> DataFrame:
+    """One row per (provider, event_id), whichever copy the stream meets first.
+
+    Every id is remembered, in RocksDB beside the executors, so an event is never lost however late it comes.  Where
+    senders guarantee to redeliver within ``horizon``, ids are forgotten after it; rows later than that are then dropped.
+    """
+    if horizon is None:
+        return events.dropDuplicates(EVENT_KEY)
+    timed = events.withColumn("seen_at", F.col("received_at").cast("timestamp"))
+    return timed.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(EVENT_KEY).drop("seen_at")
+
+
+def stream_dedupe_events(deliveries: DataFrame, secret: str, horizon: str | None = None) -> DataFrame:
+    return first_copies(genuine(deliveries, secret), horizon).select(*EVENT_KEY, "body")
 
 
 def stream_classify_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
@@ -110,11 +119,10 @@ def payment_events(deliveries: DataFrame, secret: str) -> DataFrame:
     return ingest.map_event_target_state(parsed(deliveries, secret)).filter("routing = 'PAYMENT'")
 
 
-def run_provider_status(deliveries: DataFrame, secret: str) -> DataFrame:
+def run_provider_status(deliveries: DataFrame, secret: str, horizon: str | None = None) -> DataFrame:
     """Each micro-batch leaves its partial result and merging them is order-free, so nothing is rewritten.
     Redeliveries are dropped first: a late copy of an old claim must not pass for the latest."""
-    timed = payment_events(deliveries, secret).withColumn("seen_at", F.col("received_at").cast("timestamp"))
-    once = timed.withWatermark("seen_at", REDELIVERY_HORIZON).dropDuplicatesWithinWatermark(EVENT_KEY)
+    once = first_copies(payment_events(deliveries, secret), horizon)
     partials = run_epochs(once, "provider-status", "append", lambda rows, epoch, out: pay.provider_status_partials(rows))
     return pay.merge_provider_status(partials.drop("epoch"))
 
