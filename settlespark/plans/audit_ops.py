@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from settlespark.operators import audit, cases as case_ops, ops
+from settlespark.operators import audit, cases as case_ops, ledger as ledger_ops, ops
 from settlespark.plans import cases, events, ledger, payments
 from settlespark.plans.derive_sql import CTE
 from settlespark.plans.registry import query
@@ -130,7 +130,6 @@ UNION ALL SELECT 'stuck_batches', count(*) FROM monthly_batches WHERE status = '
 @query("health_report", """SELECT check_name, findings, CASE WHEN findings = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM health_checks
 UNION ALL SELECT 'overall', CAST(sum(findings) AS BIGINT), CASE WHEN sum(findings) = 0 THEN 'UP' ELSE 'DOWN' END FROM health_checks""")
 def _(s):
-    from settlespark.operators import ledger as ledger_ops
     return ops.health_report(ledger_ops.verify_balances(ledger.stored_balances(s), s.ledger_entries, s.accounts), ops.stuck_batches(monthly_batches(s), NOW_ORDERS))
 
 

@@ -5,15 +5,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
-from settlespark.sources.scenario import NOW_EVENTS, RETENTION_DAYS, WEBHOOK_SECRET, WINDOW, WINDOW_A, WINDOW_B
+from settlespark.sources.scenario import RETENTION_DAYS, WEBHOOK_SECRET
 
 _key = WEBHOOK_SECRET.encode().ljust(64, b"\0")
 _INNER = "".join(f"{b ^ 0x36:02x}" for b in _key)
 _OUTER = "".join(f"{b ^ 0x5C:02x}" for b in _key)
-assert len(WEBHOOK_SECRET) <= 64 and hashlib.sha256
 
 CTE: dict[str, str] = {}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from settlespark.session import new_path
@@ -65,4 +63,4 @@ def read_events_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text, as the snapshot listing is exchanged."""
-    df.write.mode("error").option("sep", "\t").option("header", True).csv(os.path.join(path))
+    df.write.mode("error").option("sep", "\t").option("header", True).csv(path)
