@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "settlespark_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))  # Spark hands the file to every executor
+
+
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -96,6 +116,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
+def _flagged(rows: DataFrame, key: str, members: DataFrame, member_key: str, bits: int) -> DataFrame:
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmap = (
+        members.select(slot(F.col(member_key)).alias("_s"))
+        .groupBy(F.expr("_s div 64").alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
+    )
+    found = rows.withColumn("_slot", slot(F.col(key))).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(bitmap), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 as int)) = 1"), F.lit(False))).drop("_slot", "_word", "_bits")
+
+
 def maybe_in(rows: DataFrame, key: str, members: DataFrame, member_key: str, bits: int = FILTER_BITS) -> DataFrame:
     """The rows whose long ``key`` may be among the members; some others pass, none is lost.
 
@@ -103,11 +134,17 @@ def maybe_in(rows: DataFrame, key: str, members: DataFrame, member_key: str, bit
     members.  That is the proven bound behind the broadcast.  It spares the shuffle of texts that an exact join would discard; where the
     members fill the bitmap it spares nothing and harms nothing.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    bitmap = (
-        members.select(slot(F.col(member_key)).alias("s"))
-        .groupBy(F.expr("s div 64").alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_bits"))
-    )
-    found = rows.withColumn("_slot", slot(F.col(key))).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(bitmap), "_word")
-    return found.where(F.expr("getbit(_bits, cast(_slot % 64 as int)) = 1")).drop("_slot", "_word", "_bits")
+    return _flagged(rows, key, members, member_key, bits).where("_maybe").drop("_maybe")
+
+
+def joined_where_present(rows: DataFrame, key: str, facts: DataFrame, fact_key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A left join on the long ``key`` that shuffles only rows which may have a partner in ``facts`` (unique by ``fact_key``).
+
+    All columns of rows, then those of facts but its key; null where there is no partner.  Null keys have no partner.
+    """
+    flagged = _flagged(rows, key, facts, fact_key, bits)
+    own, extra = rows.columns, [c for c in facts.columns if c != fact_key]
+    side = facts.withColumnRenamed(fact_key, "_fact_key")
+    some = flagged.where("_maybe").join(side, F.col(key) == F.col("_fact_key"), "left").select(*own, *extra)
+    none = flagged.where("not _maybe").select(*own, *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in extra])
+    return some.unionByName(none)
