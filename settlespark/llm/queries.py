@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import packing, quality, secrets, sharding, tokens, toxicity
+from settlespark.llm import jaccard, packing, quality, secrets, sharding, tokens, toxicity
 from settlespark.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
