@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import jaccard, packing, quality, secrets, sharding, tokens, toxicity
+from settlespark.llm import jaccard, packing, quality, secrets, sharding, suffix_dedup, tokens, toxicity
 from settlespark.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,12 @@ def op5_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return cut.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
