@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import jaccard, packing, quality, secrets, sharding, suffix_dedup, tokens, toxicity
+from settlespark.llm import jaccard, line_dedup, packing, quality, secrets, sharding, suffix_dedup, tokens, toxicity
 from settlespark.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
     )
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    )
