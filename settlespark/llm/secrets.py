@@ -163,16 +163,8 @@ class Formats:
         return any(a.likelihood(value) >= least for a, least in self.known)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end in code points, by start and then kind) for every row of ``docs`` (doc_id, text).
-
-    ``base`` has the base formats; ``spans`` has these and, as kind "format", the candidates outside them that are as likely under the automaton
-    of some kind as nineteen in twenty of that kind's own credentials.  The automata are inferred from the base credentials of all
-    documents, up to 3,000 distinct ones per kind.  A null or empty text has no spans; repeated rows have equal spans; with fewer than
-    20 credentials of a kind there is no automaton for it.
-
-    Texts are read once; the few spans and candidates are written to the shared folder and the rest runs on them.
-    """
+def _scan(docs: DataFrame) -> DataFrame:
+    """Base matches and candidates of every row, from one pass over the texts, written to the shared folder."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
@@ -183,14 +175,30 @@ def find(docs: DataFrame) -> DataFrame:
             runs = [[dict(zip(("start", "end", "value"), c)) for c in f[1]] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(runs, run_type)], ["doc_id", "base", "candidates"])
 
-    spark = docs.sparkSession
-    scanned = written(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(work, SCANNED), "secret-scan")
+    return written(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(work, SCANNED), "secret-scan")
+
+
+def _infer(scanned: DataFrame) -> Formats:
+    """Automata of the base credentials of all documents, up to 3,000 distinct ones per kind, those with the least hashes."""
     credentials = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
     sample = None
     for kind in KINDS[:-1]:
         part = credentials.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(2 * FITTED)
         sample = part if sample is None else sample.unionByName(part)
-    formats = spark.sparkContext.broadcast(Formats([(r["kind"], r["value"]) for r in sample.collect()]))
+    return Formats([(r["kind"], r["value"]) for r in sample.collect()])
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans (arrays of kind, start, end in code points, by start and then kind) for every row of ``docs`` (doc_id, text).
+
+    ``base`` has the base formats; ``spans`` has these and, as kind "format", the candidates outside them that are as likely under the automaton
+    of some kind as nineteen in twenty of that kind's own credentials.  A null or empty text has no spans; repeated rows have equal
+    spans; with fewer than 20 credentials of a kind there is no automaton for it.
+
+    Texts are read once; the few spans and candidates are written to the shared folder and the rest runs on them.
+    """
+    scanned = _scan(docs)
+    formats = docs.sparkSession.sparkContext.broadcast(_infer(scanned))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -207,6 +215,30 @@ def find(docs: DataFrame) -> DataFrame:
     return scanned.mapInArrow(judge, f"doc_id bigint, base {spans}, spans {spans}")
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with every span in ``text`` replaced by a mark; other columns and null texts unchanged.
+
+    The automata are inferred in a first pass; the second finds and replaces where the text is, without a shuffle.
+    """
+    formats = docs.sparkSession.sparkContext.broadcast(_infer(_scan(docs)))
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in column_chunks(batches):
+            texts = []
+            for text in batch.column(at).to_pylist():
+                if text:
+                    base, candidates = scan_text(text)
+                    spans = [s[:3] for s in base] + [("format", c[0], c[1]) for c in candidates if formats.value.accepts(c[2])]
+                    text = redact_text(text, [dict(zip(("kind", "start", "end"), s)) for s in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))])
+                texts.append(text)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def redact_text(text: str, spans: list[dict]) -> str:
     """The text with every span, overlapping ones as one, replaced by a mark of the first kind in it."""
     out, at = [], 0
