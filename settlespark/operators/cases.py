@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from settlespark import vocab
 from settlespark.functions.keyed import first_per_key
-from settlespark.functions.ordered import previous_values, row_numbers
+from settlespark.functions.ordered import row_numbers
 
 CASE_KEY = ["payment_key", "provider", "provider_transaction_id", "reason"]
 
@@ -132,6 +132,7 @@ def open_cases(numbered: DataFrame) -> DataFrame:
 
 def case_history_breaks(events: DataFrame) -> DataFrame:
     """Events (case_id, seq, id, from_status, to_status) that leave a state the case was not in."""
-    chained = previous_values(events, ["case_id"], ["seq", "id"], {"previous_to": "to_status"})
+    in_order = Window.partitionBy("case_id").orderBy("seq", "id")
+    chained = events.withColumns({"previous_to": F.lag("to_status").over(in_order), "is_first": F.row_number().over(in_order) == 1})
     return chained.filter("not is_first and not (from_status <=> previous_to)").select(
         "id", "case_id", "seq", "from_status", "previous_to", "to_status")

@@ -65,7 +65,7 @@ def ledger_double_reversals(headers: DataFrame) -> DataFrame:
 def ledger_reversal_shape_breaks(headers: DataFrame) -> DataFrame:
     problem = F.expr("""case when type = 'REVERSAL' and reversal_of_transaction_id is null then 'NO_ORIGINAL'
         when type = 'REVERSAL' and reversal_reason is null then 'NO_REASON'
-        when type <> 'REVERSAL' and (reversal_of_transaction_id is not null or reversal_reason is not null) then 'NOT_A_REVERSAL'
+        when type <> 'REVERSAL' and reversal_of_transaction_id is not null then 'NOT_A_REVERSAL'
         when reversal_of_transaction_id = id then 'REVERSES_ITSELF' end""")
     return headers.withColumn("problem", problem).filter("problem is not null").select("id", "type", "problem")
 
@@ -159,12 +159,12 @@ def unique_key_breaks(keys: list[tuple[str, DataFrame, list[str]]]) -> DataFrame
 def history_mutations(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of an append-only table that were changed or removed between two snapshots; new rows are fine."""
     columns = [c for c in before.columns if c != "id"]
-
-    def digest(df: DataFrame, name: str) -> DataFrame:
-        return df.select("id", F.sha2(F.to_json(F.struct(*columns)), 256).alias(name))
-
-    joined = digest(before, "was").join(digest(after, "is"), "id", "left")
-    return joined.filter("is is null or was <> is").select("id", F.expr("case when is is null then 'DELETED' else 'CHANGED' end").alias("mutation"))
+    now = after.select("id", *[F.col(c).alias(f"_now_{c}") for c in columns], F.lit(True).alias("_there"))
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_now_{c}"))
+    joined = before.join(now, "id", "left").filter(F.col("_there").isNull() | changed)
+    return joined.select("id", F.expr("case when _there is null then 'DELETED' else 'CHANGED' end").alias("mutation"))
 
 
 def enum_violations(columns: list[tuple[str, DataFrame, str, str, list[str]]]) -> DataFrame:

@@ -23,17 +23,37 @@ def parsed_body(body: str = "body") -> Column:
     return F.from_json(F.col(body), PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
 
+# The fields of the objects inside a body.
+MONEY_KEYS = ["amountMinor", "currency"]
+SETTLEMENT_KEYS = ["providerSettlementId", "settlementDate", "currency", "grossAmountMinor", "feeAmountMinor", "netAmountMinor", "lines"]
+LINE_KEYS = ["providerTransactionId", "grossAmountMinor", "netAmountMinor"]
+
+
+def _unknown_field(body: str) -> str:
+    """Whether the body or any object in it has a field that no event has."""
+    def strange(text: str, keys: list[str]) -> str:
+        names = ", ".join(f"'{k}'" for k in keys)
+        return f"coalesce(size(array_except(json_object_keys({text}), array({names}))) > 0, false)"
+
+    inner = [strange(f"get_json_object({body}, '$.{field}')", MONEY_KEYS) for field in ("gross", "fee", "net")]
+    lines = f"from_json(get_json_object({body}, '$.settlement.lines'), 'array<string>')"
+    return " or ".join([
+        strange(body, PAYLOAD_KEYS), *inner, strange(f"get_json_object({body}, '$.settlement')", SETTLEMENT_KEYS),
+        f"coalesce(exists({lines}, line -> {strange('line', LINE_KEYS)}), false)"])
+
+
 def body_problem(body: str = "body", parsed: str = "p") -> Column:
     """Why a body is not a provider event, or null."""
-    keys = ", ".join(f"'{k}'" for k in PAYLOAD_KEYS)
     return F.expr(f"""case when {parsed} is null or {parsed}._corrupt is not null then 'NOT_JSON'
-        when size(array_except(json_object_keys({body}), array({keys}))) > 0 then 'UNKNOWN_FIELD'
+        when {_unknown_field(body)} then 'UNKNOWN_FIELD'
         when {parsed}.type is null then 'MISSING_TYPE' when {parsed}.occurredAt is null then 'MISSING_OCCURRED_AT'
         when try_to_timestamp({parsed}.occurredAt) is null then 'BAD_OCCURRED_AT' end""")
 
 
 def _occurred_at(parsed: str = "p") -> Column:
-    return F.expr(f"try_cast(replace(substring({parsed}.occurredAt, 1, 19), 'T', ' ') as timestamp_ntz)").alias("occurred_at")
+    """The instant in UTC, from the whole text with its offset and fraction."""
+    local = f"cast(try_to_timestamp({parsed}.occurredAt) as timestamp_ntz)"
+    return F.expr(f"convert_timezone(current_timezone(), 'UTC', {local})").alias("occurred_at")
 
 
 def _with_parsed(deliveries: DataFrame) -> DataFrame:
@@ -71,7 +91,7 @@ def filter_event_freshness(deliveries: DataFrame) -> DataFrame:
     return deliveries.filter(is_fresh())
 
 
-HTTP_STATUS = """case outcome when 'ACCEPTED' then 202 when 'DUPLICATE' then 200 when 'REJECTED_TOO_LARGE' then 413
+HTTP_STATUS = """case outcome when 'ACCEPTED' then 202 when 'DUPLICATE' then 200 when 'TOO_LARGE' then 413
     when 'REJECTED_MALFORMED' then 400 else 401 end"""
 
 
@@ -85,7 +105,7 @@ def checked_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
         (F.col("body_bytes") > vocab.MAX_BODY_BYTES).alias("large"), (blank("event_id") | blank("timestamp") | blank("signature")).alias("blank"),
         is_fresh().alias("fresh"), signature_matches(secret).alias("signed"), body_problem().alias("problem"))
     return once(once(deliveries, "p", parsed_body()), "c", facts).withColumn("rejection", F.expr("""case
-        when c.large then 'REJECTED_TOO_LARGE' when c.blank then 'REJECTED_MALFORMED' when not c.fresh then 'REJECTED_TIMESTAMP'
+        when c.large then 'TOO_LARGE' when c.blank then 'REJECTED_MALFORMED' when not c.fresh then 'REJECTED_TIMESTAMP'
         when not c.signed then 'REJECTED_SIGNATURE' when c.problem is not null then 'REJECTED_MALFORMED' end""")).withColumn(
         "signature_valid", F.expr("not coalesce(c.large, false) and not c.blank and c.fresh and c.signed")).drop("c")
 
@@ -130,6 +150,11 @@ def flatten_settlement_report(reports: DataFrame, body: str = "report") -> DataF
 HEADER = ["provider", "provider_settlement_id", "settlement_date", "currency", "gross_amount_minor", "fee_amount_minor", "net_amount_minor"]
 
 
+def settlement_headers(reports: DataFrame, body: str = "report") -> DataFrame:
+    """One row per reported settlement, with or without lines."""
+    return flatten_settlement_report(reports, body).filter("coalesce(line_no, 1) = 1").select(*HEADER)
+
+
 def _sync_ids(fetched: DataFrame) -> DataFrame:
     return fetched.withColumn("event_id", F.concat(F.lit("sync_"), "provider_settlement_id"))
 

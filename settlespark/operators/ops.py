@@ -44,7 +44,7 @@ def health_report(drift: DataFrame, stuck: DataFrame) -> DataFrame:
         overall.withColumn("status", F.expr("case when findings = 0 then 'UP' else 'DOWN' end")))
 
 
-def failed_events(events: DataFrame, limit: int = 100) -> DataFrame:
+def failed_events(events: DataFrame, limit: int) -> DataFrame:
     return events.filter("status in ('FAILED', 'DEAD')").orderBy("next_attempt_at", "id").limit(limit).select(
         "id", "event_id", "status", "attempts", "deferred_attempts", "next_attempt_at")
 
@@ -63,7 +63,7 @@ def event_retry_state(events: DataFrame) -> DataFrame:
     )
 
 
-def claimable_events(events: DataFrame, now: str, limit: int = 50) -> DataFrame:
+def claimable_events(events: DataFrame, now: str, limit: int) -> DataFrame:
     due = events.filter(
         F.col("status").isin("PENDING", "FAILED") & (F.col("next_attempt_at") <= F.lit(now).cast("timestamp_ntz"))
         & (F.col("attempts") < vocab.MAX_ATTEMPTS) & (F.col("deferred_attempts") < vocab.MAX_DEFERRALS))

@@ -152,7 +152,7 @@ def validate_posting_commands(headers_: DataFrame, entries_: DataFrame) -> DataF
     """The first rule each command breaks; commands that break none are left out."""
     per = entries_.groupBy(F.col("transaction_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("amount_minor") == 0).alias("zero"),
+        F.count_if(F.col("amount_minor") == 0).alias("zero"), F.count_if(F.col("amount_minor") < 0).alias("negative"),
         F.min("currency").alias("lo"), F.max("currency").alias("hi"),
         F.sum(F.when(F.col("direction") == DEBIT, F.col("amount_minor")).otherwise(0)).alias("debits"),
         F.sum(F.when(F.col("direction") == CREDIT, F.col("amount_minor")).otherwise(0)).alias("credits"),
@@ -160,9 +160,10 @@ def validate_posting_commands(headers_: DataFrame, entries_: DataFrame) -> DataF
     )
     sources = ", ".join(f"'{s}'" for s in vocab.SOURCE_TYPES)
     rule = F.expr(f"""case
+        when negative > 0 then 'NEGATIVE_ENTRY'
         when zero > 0 then 'ZERO_ENTRY'
         when coalesce(n, 0) < 2 then 'TOO_FEW_ENTRIES'
-        when source_type not in ({sources}) then 'UNSUPPORTED_SOURCE'
+        when source_type is null or source_type not in ({sources}) then 'UNSUPPORTED_SOURCE'
         when lo <> currency or hi <> currency then 'L2_CURRENCY'
         when nd = 0 or nc = 0 then 'L3_ONE_SIDED'
         when debits <> credits then 'L1_UNBALANCED'

@@ -18,9 +18,9 @@ def settlement_line_totals(lines: DataFrame) -> DataFrame:
 def total_problems_text() -> str:
     """SQL text listing every header total that contradicts the lines, joined with '; '."""
     return """concat_ws('; ',
-        case when gross_amount_minor <> line_gross then concat('states gross ', gross_amount_minor, ' but its ', line_count, ' line(s) total ', line_gross) end,
-        case when net_amount_minor <> line_net then concat('states net ', net_amount_minor, ' but its lines total ', line_net) end,
-        case when fee_amount_minor <> line_fee then concat('states fee ', fee_amount_minor, ' but its lines imply ', line_fee, ' (gross ', line_gross, ' − net ', line_net, ')') end)"""
+        case when gross_amount_minor <> line_gross then concat('gross ', gross_amount_minor, ' against ', line_count, ' lines with ', line_gross) end,
+        case when net_amount_minor <> line_net then concat('net ', net_amount_minor, ' against ', line_net) end,
+        case when fee_amount_minor <> line_fee then concat('fee ', fee_amount_minor, ' against ', line_fee, ' (gross ', line_gross, ' − net ', line_net, ')') end)"""
 
 
 def settlement_total_problems(records: DataFrame, lines: DataFrame) -> DataFrame:
@@ -84,21 +84,20 @@ def validate_settlements(records: DataFrame, lines: DataFrame, payments: DataFra
         when twice.txn is not null then 'S6'
         when problems <> '' then 'S2-S4' end"""))
     reason = F.expr("""concat('settlement ', provider_settlement_id, case rule
-        when 'S1' then ' has no lines; a settlement that pays nothing settles nothing'
+        when 'S1' then ': no lines'
         when 'S7' then case when gross_amount_minor < 0 or fee_amount_minor < 0 or net_amount_minor < 0
-            then concat(' states a negative total: gross=', gross_amount_minor, ' fee=', fee_amount_minor, ' net=', net_amount_minor)
-            else concat(' line ', bad.txn, ' states a negative amount: gross=', bad.bad.line_gross_minor, ' net=', bad.bad.line_net_minor) end
-        when 'S5' then concat(' line ', bad.txn, ' nets ', bad.bad.line_net_minor, ' on a gross of only ', bad.bad.line_gross_minor, '; its derived fee would be negative')
-        when 'S8' then concat(' is denominated in \\'', currency, '\\', which this platform does not support')
-        when 'S9' then concat(' is in ', currency, ' but transaction ', cross.txn, ' was captured in ', cross.ccy, '; v1 does not convert between currencies, so this settlement cannot be honoured')
-        when 'S6' then concat(' lists transaction ', twice.txn, ' on ', twice.n, ' lines; a record cannot settle the same transaction twice')
-        when 'S2-S4' then concat(' contradicts its own lines: ', problems) end)""")
+            then concat(': total below zero, gross ', gross_amount_minor, ', fee ', fee_amount_minor, ', net ', net_amount_minor)
+            else concat(' line ', bad.txn, ': amount below zero, gross ', bad.bad.line_gross_minor, ', net ', bad.bad.line_net_minor) end
+        when 'S5' then concat(' line ', bad.txn, ': net ', bad.bad.line_net_minor, ' above gross ', bad.bad.line_gross_minor)
+        when 'S8' then concat(': unsupported currency ', currency)
+        when 'S9' then concat(': ', currency, ' settlement, transaction ', cross.txn, ' belongs to a ', cross.ccy, ' payment')
+        when 'S6' then concat(': transaction ', twice.txn, ' listed ', twice.n, ' times')
+        when 'S2-S4' then concat(': totals differ, ', problems) end)""")
     facts = facts.withColumn("reason", reason)
-    limit = vocab.REASON_LIMIT
     return facts.select(
         "id", F.when(F.col("rule").isNull(), "VALID").otherwise("INVALID").alias("validity"),
         F.coalesce("rule", F.lit("-")).alias("rule"),
-        F.expr(f"case when length(reason) <= {limit} then reason else concat(substring(reason, 1, {limit - 3}), '...') end").alias("validity_reason"),
+        F.col("reason").alias("validity_reason"),
     )
 
 

@@ -138,7 +138,7 @@ _WORKED = "id, event_id, status, attempts, deferred_attempts, next_attempt_at"
 
 @query("failed_events", f"SELECT {_WORKED} FROM worked_events WHERE status IN ('FAILED','DEAD') ORDER BY next_attempt_at, id LIMIT 100")
 def _(s):
-    return ops.failed_events(worked_events(s))
+    return ops.failed_events(worked_events(s), limit=100)
 
 
 @query("event_retry_state", """SELECT id, error_class, CASE WHEN error_class = 'NON_RETRYABLE' THEN 'DEAD' WHEN error_class = 'BLOCKED' THEN CASE WHEN deferred_attempts >= 99 THEN 'DEAD' ELSE 'PENDING' END
@@ -153,7 +153,7 @@ def _(s):
 @query("claimable_events", f"""SELECT {_WORKED} FROM worked_events WHERE status IN ('PENDING','FAILED') AND next_attempt_at <= TIMESTAMP '{NOW_EVENTS}' AND attempts < 8 AND deferred_attempts < 100
 ORDER BY next_attempt_at, id LIMIT 50""")
 def _(s):
-    return ops.claimable_events(worked_events(s), NOW_EVENTS)
+    return ops.claimable_events(worked_events(s), NOW_EVENTS, limit=50)
 
 
 @query("stale_claims", f"SELECT id, event_id, locked_at FROM worked_events WHERE status = 'PROCESSING' AND locked_at < TIMESTAMP '{NOW_EVENTS}' - INTERVAL 300 SECOND")

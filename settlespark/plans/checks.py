@@ -174,7 +174,7 @@ UNION ALL SELECT 'settlement_records(provider, provider_settlement_id)', provide
 UNION ALL SELECT 'settlement_record_lines(record, line_no)', settlement_record_id || '|' || line_no, count(*) FROM statement_lines GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'ledger_entries(transaction_id, line_no)', transaction_id || '|' || line_no, count(*) FROM attacked_entries GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'payout_lines(payment_id)', payment_id, count(*) FROM attacked_payout_lines GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'reconciliation_cases(open subject, reason)', coalesce(payment_id, '~') || '|' || provider_transaction_id, count(*) FROM cases_b WHERE status IN ('OPEN','INVESTIGATING') GROUP BY 2 HAVING count(*) > 1""")
+UNION ALL SELECT 'reconciliation_cases(open subject, reason)', coalesce(payment_id, '~') || '|' || provider_transaction_id || '|' || reason, count(*) FROM (SELECT * FROM cases_b UNION ALL SELECT * FROM cases_b WHERE occurrence_count > 1) WHERE status IN ('OPEN','INVESTIGATING') GROUP BY 2 HAVING count(*) > 1""")
 def _(s):
     open_cases = cases.cases_b(s).filter("status in ('OPEN', 'INVESTIGATING')").withColumn("payment_key", F.coalesce("payment_id", F.lit("~")))
     return k.unique_key_breaks([
@@ -184,7 +184,7 @@ def _(s):
         ("settlement_record_lines(record, line_no)", s.statement_lines, ["settlement_record_id", "line_no"]),
         ("ledger_entries(transaction_id, line_no)", attacks.entries(s), ["transaction_id", "line_no"]),
         ("payout_lines(payment_id)", payout_lines(s), ["payment_id"]),
-        ("reconciliation_cases(open subject, reason)", open_cases, ["payment_key", "provider_transaction_id"]),
+        ("reconciliation_cases(open subject, reason)", open_cases.unionByName(open_cases.filter("occurrence_count > 1")), ["payment_key", "provider_transaction_id", "reason"]),
     ])
 
 

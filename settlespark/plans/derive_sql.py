@@ -110,9 +110,9 @@ FROM statement_lines GROUP BY settlement_record_id, provider_transaction_id HAVI
 
 CTE["problem_texts"] = """
 SELECT s.id, concat_ws('; ',
-  CASE WHEN gross_amount_minor <> line_gross THEN 'states gross ' || gross_amount_minor || ' but its ' || line_count || ' line(s) total ' || line_gross END,
-  CASE WHEN net_amount_minor <> line_net THEN 'states net ' || net_amount_minor || ' but its lines total ' || line_net END,
-  CASE WHEN fee_amount_minor <> line_fee THEN 'states fee ' || fee_amount_minor || ' but its lines imply ' || line_fee || ' (gross ' || line_gross || ' − net ' || line_net || ')' END) AS problems
+  CASE WHEN gross_amount_minor <> line_gross THEN 'gross ' || gross_amount_minor || ' against ' || line_count || ' lines with ' || line_gross END,
+  CASE WHEN net_amount_minor <> line_net THEN 'net ' || net_amount_minor || ' against ' || line_net END,
+  CASE WHEN fee_amount_minor <> line_fee THEN 'fee ' || fee_amount_minor || ' against ' || line_fee || ' (gross ' || line_gross || ' − net ' || line_net || ')' END) AS problems
 FROM statements s JOIN line_totals t ON t.settlement_record_id = s.id"""
 
 CTE["verdict_rules"] = """
@@ -135,20 +135,20 @@ LEFT JOIN problem_texts x ON x.id = s.id"""
 
 CTE["verdict_texts"] = """
 SELECT *, 'settlement ' || provider_settlement_id || CASE rule
-  WHEN 'S1' THEN ' has no lines; a settlement that pays nothing settles nothing'
+  WHEN 'S1' THEN ': no lines'
   WHEN 'S7' THEN CASE WHEN gross_amount_minor < 0 OR fee_amount_minor < 0 OR net_amount_minor < 0
-    THEN ' states a negative total: gross=' || gross_amount_minor || ' fee=' || fee_amount_minor || ' net=' || net_amount_minor
-    ELSE ' line ' || bad_txn || ' states a negative amount: gross=' || bad_gross || ' net=' || bad_net END
-  WHEN 'S5' THEN ' line ' || bad_txn || ' nets ' || bad_net || ' on a gross of only ' || bad_gross || '; its derived fee would be negative'
-  WHEN 'S8' THEN ' is denominated in ''' || currency || ''', which this platform does not support'
-  WHEN 'S9' THEN ' is in ' || currency || ' but transaction ' || cross_txn || ' was captured in ' || cross_ccy || '; v1 does not convert between currencies, so this settlement cannot be honoured'
-  WHEN 'S6' THEN ' lists transaction ' || twice_txn || ' on ' || twice_n || ' lines; a record cannot settle the same transaction twice'
-  WHEN 'S2-S4' THEN ' contradicts its own lines: ' || problems END AS reason
+    THEN ': total below zero, gross ' || gross_amount_minor || ', fee ' || fee_amount_minor || ', net ' || net_amount_minor
+    ELSE ' line ' || bad_txn || ': amount below zero, gross ' || bad_gross || ', net ' || bad_net END
+  WHEN 'S5' THEN ' line ' || bad_txn || ': net ' || bad_net || ' above gross ' || bad_gross
+  WHEN 'S8' THEN ': unsupported currency ' || currency
+  WHEN 'S9' THEN ': ' || currency || ' settlement, transaction ' || cross_txn || ' belongs to a ' || cross_ccy || ' payment'
+  WHEN 'S6' THEN ': transaction ' || twice_txn || ' listed ' || twice_n || ' times'
+  WHEN 'S2-S4' THEN ': totals differ, ' || problems END AS reason
 FROM verdict_rules"""
 
 CTE["verdicts"] = """
 SELECT id, CASE WHEN rule = '-' THEN 'VALID' ELSE 'INVALID' END AS validity, rule,
-  CASE WHEN length(reason) <= 500 THEN reason ELSE substring(reason, 1, 497) || '...' END AS validity_reason
+  reason AS validity_reason
 FROM verdict_texts"""
 
 CTE["settlement_records"] = "SELECT s.*, v.validity, v.validity_reason FROM statements s JOIN verdicts v ON v.id = s.id"
@@ -290,7 +290,7 @@ SELECT 'del_' || e || '_' || n AS id, 'SIMULATED_PSP' AS provider, event_id, bod
 FROM bodied_deliveries"""
 
 CTE["checked_deliveries"] = f"""
-SELECT *, CASE WHEN body_bytes > 262144 THEN 'REJECTED_TOO_LARGE'
+SELECT *, CASE WHEN body_bytes > 262144 THEN 'TOO_LARGE'
     WHEN event_id IS NULL OR signature IS NULL THEN 'REJECTED_MALFORMED'
     WHEN abs(CAST(epoch(received_at) AS BIGINT) - CAST("timestamp" AS BIGINT)) > 300 THEN 'REJECTED_TIMESTAMP'
     WHEN lower(signature) <> sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode("timestamp" || '.' || event_id || '.' || body)))) THEN 'REJECTED_SIGNATURE'

@@ -44,7 +44,7 @@ def _(s):
     return g.filter_event_freshness(s.deliveries).select("id", "timestamp")
 
 
-@query("classify_deliveries", """SELECT id, provider, event_id, received_at, outcome, CASE outcome WHEN 'ACCEPTED' THEN 202 WHEN 'DUPLICATE' THEN 200 WHEN 'REJECTED_TOO_LARGE' THEN 413 WHEN 'REJECTED_MALFORMED' THEN 400 ELSE 401 END AS http_status,
+@query("classify_deliveries", """SELECT id, provider, event_id, received_at, outcome, CASE outcome WHEN 'ACCEPTED' THEN 202 WHEN 'DUPLICATE' THEN 200 WHEN 'TOO_LARGE' THEN 413 WHEN 'REJECTED_MALFORMED' THEN 400 ELSE 401 END AS http_status,
   outcome IN ('ACCEPTED', 'DUPLICATE') OR (outcome = 'REJECTED_MALFORMED' AND event_id IS NOT NULL) AS signature_valid FROM classified_deliveries""")
 def _(s):
     return g.classify_deliveries(s.deliveries, WEBHOOK_SECRET).select("id", "provider", "event_id", "received_at", "outcome", "http_status", "signature_valid")
@@ -58,7 +58,7 @@ def _(s):
 
 @query("deliveries_per_event", """SELECT provider, event_id, count(*) AS deliveries, count(*) FILTER (outcome = 'ACCEPTED') AS accepted, count(*) FILTER (outcome = 'DUPLICATE') AS duplicate,
   count(*) FILTER (outcome = 'REJECTED_SIGNATURE') AS rejected_signature, count(*) FILTER (outcome = 'REJECTED_TIMESTAMP') AS rejected_timestamp,
-  count(*) FILTER (outcome = 'REJECTED_MALFORMED') AS rejected_malformed, count(*) FILTER (outcome = 'REJECTED_TOO_LARGE') AS rejected_too_large
+  count(*) FILTER (outcome = 'REJECTED_MALFORMED') AS rejected_malformed, count(*) FILTER (outcome = 'TOO_LARGE') AS too_large
 FROM classified_deliveries WHERE event_id IS NOT NULL GROUP BY 1, 2""")
 def _(s):
     return g.deliveries_per_event(classified(s))
@@ -91,7 +91,7 @@ def reports(s: Scenario) -> DataFrame:
 
 
 def pulled(s: Scenario) -> DataFrame:
-    return g.flatten_settlement_report(reports(s)).filter("line_no = 1").select(*g.HEADER)
+    return g.settlement_headers(reports(s))
 
 
 def known_events(s: Scenario) -> DataFrame:
@@ -167,7 +167,7 @@ FROM pulled p JOIN (SELECT provider_settlement_id, CAST(sum(line_gross_minor) AS
 def incoming(s: Scenario) -> DataFrame:
     """Pulled settlements with their verdict; every fourth is delivered again later in another currency."""
     flat = g.flatten_settlement_report(reports(s))
-    headers = flat.filter("line_no = 1").select(F.col("provider_settlement_id").alias("id"), *g.HEADER)
+    headers = g.settlement_headers(reports(s)).select(F.col("provider_settlement_id").alias("id"), *g.HEADER)
     lines = flat.filter("provider_transaction_id is not null").select(
         F.col("provider_settlement_id").alias("settlement_record_id"), "provider_transaction_id", "line_gross_minor", "line_net_minor", "line_no")
     verdicts = settlement.validate_settlements(headers, lines, s.event_payments).select("id", "validity")

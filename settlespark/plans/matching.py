@@ -111,12 +111,12 @@ SELECT 'rres_{batch}_' || subject_key AS id, '{batch}' AS batch_id, subject_key,
   CASE WHEN NOT plain THEN act_gross END AS actual_gross_minor, act_fee AS actual_fee_minor, act_net AS actual_net_minor, act_currency AS actual_currency, act_status AS actual_status,
   CASE WHEN NOT plain AND exp_currency = act_currency THEN exp_gross - act_gross END AS delta_minor,
   '[' || CASE WHEN plain THEN {one}
-    WHEN outcome = 'SETTLEMENT_RECORD_INVALID' AND found = '' THEN {_obj('SETTLEMENT_RECORD_INVALID', None, "'no settlement was applied to this transaction'", "'the covering settlement record was refused as inconsistent'", None)}
+    WHEN outcome = 'SETTLEMENT_RECORD_INVALID' AND found = '' THEN {_obj('SETTLEMENT_RECORD_INVALID', None, "'not settled'", "'settlement refused'", None)}
     ELSE found END || ']' AS differences,
   CASE WHEN plain THEN outcome WHEN outcome = 'SETTLEMENT_RECORD_INVALID' AND found = '' THEN outcome ELSE found_reasons END AS reasons
-FROM (SELECT *, outcome IN {plain} AS plain, CASE outcome WHEN 'DUPLICATE_PROVIDER_RECORD' THEN act_n || ' provider records share this transaction id'
-    WHEN 'MISSING_INTERNAL' THEN 'no internal payment carries this transaction id' WHEN 'MISSING_ON_PROVIDER' THEN 'internal payment has no provider record'
-    WHEN 'AMBIGUOUS_MATCH' THEN exp_n || ' internal payments claim this transaction id' END AS detail FROM classified_{tag})"""
+FROM (SELECT *, outcome IN {plain} AS plain, CASE outcome WHEN 'DUPLICATE_PROVIDER_RECORD' THEN act_n || ' records on the provider side'
+    WHEN 'MISSING_INTERNAL' THEN 'unknown here' WHEN 'MISSING_ON_PROVIDER' THEN 'unknown to the provider'
+    WHEN 'AMBIGUOUS_MATCH' THEN exp_n || ' payments here' END AS detail FROM classified_{tag})"""
 
 
 _window_ctes("all", WINDOW, "rbat_all")
@@ -281,7 +281,7 @@ def _(s):
 
 
 @query("nonzero_deltas", """SELECT subject_key, outcome, delta_minor, expected_currency FROM results_all WHERE delta_minor <> 0
-ORDER BY abs(delta_minor) DESC, subject_key LIMIT 100""")
+ORDER BY abs(delta_minor) DESC, subject_key""")
 def _(s):
     return m.nonzero_deltas(results(s))
 

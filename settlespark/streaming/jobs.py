@@ -22,13 +22,14 @@ from settlespark.sources.scenario import deliveries_from_events
 EVENT_KEY = ingest.EVENT_KEY
 
 
-def streaming_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose state lives in RocksDB on the executors."""
+def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application whose state lives in RocksDB on the executors.
+
+    Every shuffle partition keeps a state store open: as many as submitted, or ``partitions``.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    # Every shuffle partition keeps a state store open, so there is no use in many more than cores.
-    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    own.conf.set("spark.sql.shuffle.partitions", str(stores))
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     own.conf.set("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")

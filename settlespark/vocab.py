@@ -51,7 +51,7 @@ LINK_ROLES = ["CAPTURE", "REFUND", "SETTLEMENT", "ADJUSTMENT", "REVERSAL"]
 TRIGGER_TYPES = ["API", "WEBHOOK", "SETTLEMENT", "SYSTEM"]
 DELIVERY_OUTCOMES = [
     "ACCEPTED", "DUPLICATE", "REJECTED_SIGNATURE",
-    "REJECTED_TIMESTAMP", "REJECTED_MALFORMED", "REJECTED_TOO_LARGE",
+    "REJECTED_TIMESTAMP", "REJECTED_MALFORMED", "TOO_LARGE",
 ]
 EVENT_STATUSES = ["PENDING", "PROCESSING", "PROCESSED", "NO_EFFECT", "FAILED", "DEAD"]
 PAYOUT_STATUSES = ["PLANNED", "EXECUTED"]
@@ -91,7 +91,6 @@ BACKOFF_CAP_SECONDS = 300
 STALE_CLAIM_SECONDS = 300
 BATCH_LEASE_MINUTES = 30
 MINIMUM_NOTE_LENGTH = 20
-REASON_LIMIT = 500
 # ---- end of fixed values ----------------------------------------------------------------------
 
 

@@ -117,6 +117,29 @@ def test_body_problems(spark):
     assert got == {"good": None, "cut": "NOT_JSON", "extra": "UNKNOWN_FIELD", "untyped": "MISSING_TYPE", "timeless": "MISSING_OCCURRED_AT", "odd": "BAD_OCCURRED_AT"}
 
 
+def test_times_keep_offset_and_fraction(spark):
+    bodies = {"offset": "2024-01-01T10:00:00+02:00", "fraction": "2024-01-01T10:00:00.750Z", "plain": "2024-01-01T10:00:00Z"}
+    df = spark.createDataFrame([(k, '{"type":"x","occurredAt":"%s"}' % v) for k, v in bodies.items()], "id string, body string")
+    got = {r.id: r.occurred_at for r in ingest.parse_provider_events(df).collect()}
+    assert got == {"offset": dt.datetime(2024, 1, 1, 8), "fraction": dt.datetime(2024, 1, 1, 10, 0, 0, 750_000), "plain": dt.datetime(2024, 1, 1, 10)}
+
+
+def test_unknown_fields_are_refused_at_every_level(spark):
+    line = '{"providerTransactionId":"t","grossAmountMinor":1,"netAmountMinor":1%s}'
+    bodies = {
+        "money": '"gross":{"amountMinor":1,"currency":"EGP","extra":1}', "settlement": '"settlement":{"providerSettlementId":"s","extra":1,"lines":[]}',
+        "line": '"settlement":{"providerSettlementId":"s","lines":[%s,%s]}' % (line % "", line % ',"extra":1'), "fine": '"settlement":{"providerSettlementId":"s","lines":[%s]}' % (line % "")}
+    df = spark.createDataFrame([(k, '{"type":"x","occurredAt":"2024-01-01T10:00:00Z",%s}' % v) for k, v in bodies.items()], "id string, body string")
+    got = {r.id: r.reject_reason for r in ingest.parse_provider_events(df).collect()}
+    assert got == {"money": "UNKNOWN_FIELD", "settlement": "UNKNOWN_FIELD", "line": "UNKNOWN_FIELD", "fine": None}
+
+
+def test_a_settlement_without_lines_keeps_its_header(spark):
+    report = '[{"providerSettlementId":"s1","currency":"EGP","lines":[]},{"providerSettlementId":"s2","currency":"EGP","lines":[{"providerTransactionId":"a"},{"providerTransactionId":"b"}]}]'
+    df = spark.createDataFrame([("P", report)], "provider string, report string")
+    assert sorted(r.provider_settlement_id for r in ingest.settlement_headers(df).collect()) == ["s1", "s2"]
+
+
 def test_freshness_boundary(spark):
     epoch = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
     rows = [("edge", str(epoch - 300)), ("late", str(epoch - 301)), ("ahead", f" {epoch + 300} "), ("odd", "soon"), ("none", None)]
@@ -137,5 +160,5 @@ def test_outcome_precedence(spark):
     df = df.withColumn("signature", F.when(F.col("signature") == "ok", F.concat(F.lit(" "), F.upper(ingest.expected_signature("s")))).otherwise(F.col("signature")))
     got = {r.id: (r.outcome, r.http_status) for r in ingest.classify_deliveries(df, "s").collect()}
     assert got == {
-        "a1": ("ACCEPTED", 202), "a2": ("DUPLICATE", 200), "big": ("REJECTED_TOO_LARGE", 413), "limit": ("ACCEPTED", 202), "noid": ("REJECTED_MALFORMED", 400),
+        "a1": ("ACCEPTED", 202), "a2": ("DUPLICATE", 200), "big": ("TOO_LARGE", 413), "limit": ("ACCEPTED", 202), "noid": ("REJECTED_MALFORMED", 400),
         "nosig": ("REJECTED_MALFORMED", 400), "stale": ("REJECTED_TIMESTAMP", 401), "forged": ("REJECTED_SIGNATURE", 401), "junk": ("REJECTED_MALFORMED", 400)}
