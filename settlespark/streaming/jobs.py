@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from settlespark.functions.keyed import first_per_key
 from settlespark.operators import ingest, payments as pay, settlement
 from settlespark.operators.ledger import SIGNED
 from settlespark.session import new_path
@@ -48,20 +47,34 @@ def delivery_stream(spark: SparkSession, path: str, files_per_batch: int | None
     return deliveries_from_events(read_stream(spark, path, files_per_batch))
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Drain what is available into a new table and return it."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+def _places(spark: SparkSession, label: str, target: str | None) -> tuple[str, str]:
+    """Table and progress folders: below ``target``, where a later run goes on, or new ones."""
+    if target:
+        return f"{target}/table", f"{target}/progress"
+    return new_path(spark, label), new_path(spark, f"{label}-progress")
+
+
+def run_append(stream: DataFrame, label: str, target: str | None = None) -> DataFrame:
+    """Drain what is available into a table and return it.  With a ``target`` folder, a later run resumes where this one ended."""
+    spark = stream.sparkSession
+    out, progress = _places(spark, label, target)
     query = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, f"{label}-progress"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_epochs(stream: DataFrame, label: str, mode: str, step: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
-    """Drain what is available, writing ``step(rows, epoch, table)`` of each micro-batch under its epoch."""
-    spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
+def run_epochs(stream: DataFrame, label: str, mode: str, step: Callable[[DataFrame, int, str], DataFrame] | None = None,
+               target: str | None = None) -> DataFrame:
+    """Drain what is available, writing ``step(rows, epoch, table)`` of each micro-batch under its epoch.
+
+    An epoch that is replayed after a failure overwrites its own folder.  With a ``target`` folder, a later run goes on with the next
+    epoch of the same table.
+    """
+    spark = stream.sparkSession
+    out, progress = _places(spark, label, target)
     schema: list = []
 
     def save(rows: DataFrame, epoch: int) -> None:
@@ -70,16 +83,23 @@ def run_epochs(stream: DataFrame, label: str, mode: str, step: Callable[[DataFra
         result.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = (
-        stream.writeStream.foreachBatch(save).option("checkpointLocation", new_path(spark, f"{label}-progress"))
+        stream.writeStream.foreachBatch(save).option("checkpointLocation", progress)
         .outputMode(mode).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not schema:
-        # Nothing has arrived: leave an empty epoch so that readers find a table.
+    if not schema and not (target and _has_epochs(spark, out)):
+        # Nothing has arrived yet: leave an empty epoch so that readers find a table.
         save(spark.createDataFrame([], stream.schema), 0)
+    if not schema:
+        return spark.read.option("basePath", out).parquet(out)
     return spark.read.schema(StructType([*schema[0], StructField("epoch", IntegerType())])).option("basePath", out).parquet(out)
 
 
+def _has_epochs(spark: SparkSession, out: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def last_epoch(changes: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "epoch")]
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last")).select(*keys, "last.*")
@@ -122,55 +142,67 @@ def payment_events(deliveries: DataFrame, secret: str) -> DataFrame:
     return ingest.map_event_target_state(parsed(deliveries, secret)).filter("routing = 'PAYMENT'")
 
 
-def run_provider_status(deliveries: DataFrame, secret: str, horizon: str | None = None) -> DataFrame:
+def run_provider_status(deliveries: DataFrame, secret: str, horizon: str | None = None, target: str | None = None) -> DataFrame:
     """Each micro-batch leaves its partial result and merging them is order-free, so nothing is rewritten.
     Redeliveries are dropped first: a late copy of an old claim must not pass for the latest."""
     once = first_copies(payment_events(deliveries, secret), horizon)
-    partials = run_epochs(once, "provider-status", "append", lambda rows, epoch, out: pay.provider_status_partials(rows))
+    partials = run_epochs(once, "provider-status", "append", lambda rows, epoch, out: pay.provider_status_partials(rows), target)
     return pay.merge_provider_status(partials.drop("epoch"))
 
 
-def coherent_settlement() -> Column:
-    return F.expr("""settlement is not null and size(settlement.lines) > 0
-        and aggregate(settlement.lines, 0L, (t, x) -> t + x.grossAmountMinor) = settlement.grossAmountMinor
-        and aggregate(settlement.lines, 0L, (t, x) -> t + x.netAmountMinor) = settlement.netAmountMinor""")
-
-
 def payment_marks(deliveries: DataFrame, secret: str) -> DataFrame:
-    """First arrival of each kind of news per transaction, kept as streaming state.
-
-    A settlement that arrives before its capture simply leaves its mark and takes effect with the capture, so waiting needs no
-    queue; and a minimum does not care about the order or the number of deliveries.
-    """
-    events = ingest.map_event_target_state(parsed(deliveries, secret))
-    direct = events.filter("routing = 'PAYMENT'").select("provider", "provider_transaction_id", "target_state", "received_at", "delivery_id")
-    covered = events.filter("routing = 'SETTLEMENT'").filter(coherent_settlement()).select(
-        "provider", F.explode("settlement.lines.providerTransactionId").alias("provider_transaction_id"), F.lit("SETTLED").alias("target_state"),
-        "received_at", "delivery_id")
+    """First arrival of each kind of news per transaction, kept as streaming state; a minimum does not care about the order or the
+    number of deliveries."""
+    events = payment_events(deliveries, secret).select("provider", "provider_transaction_id", "target_state", "received_at", "delivery_id")
     seq = F.struct("received_at", "delivery_id")
 
     def first(target: str, name: str):
         return F.min(F.when(F.col("target_state") == target, seq)).alias(name)
 
-    return direct.unionByName(covered).groupBy("provider", "provider_transaction_id").agg(
-        first("AUTHORIZED", "a"), first("CAPTURED", "c"), first("FAILED", "f"), first("REFUNDED", "r"), first("SETTLED", "s"))
+    return events.groupBy("provider", "provider_transaction_id").agg(
+        first("AUTHORIZED", "a"), first("CAPTURED", "c"), first("FAILED", "f"), first("REFUNDED", "r"))
 
 
-def run_payment_state(deliveries: DataFrame, secret: str) -> DataFrame:
-    changes = run_epochs(payment_marks(deliveries, secret), "payment-state", "update")
-    return pay.final_states(last_epoch(changes, ["provider", "provider_transaction_id"])).select("provider", "provider_transaction_id", "state")
+def settled_marks(marks: DataFrame, settlements: DataFrame, payments: DataFrame) -> DataFrame:
+    """``s``: the first valid settlement of each known payment that takes effect.
 
-
-def run_balances(entries: DataFrame, accounts: DataFrame) -> DataFrame:
+    A record takes effect as a whole, once every payment of ours that it covers is captured; until then none of them settles.  Whether
+    a record is blocked is one aggregate per record, so a record of any size is never gathered.
+    """
+    key = ["provider", "provider_transaction_id"]
+    lines = settlements.filter("validity = 'VALID'").select(
+        "id", "provider", F.struct("received_at", "delivery_id").alias("seq"), F.explode("lines.providerTransactionId").alias("provider_transaction_id"))
+    ours = payments.select(*key).distinct()
+    captured = F.expr("c is not null and (f is null or c < f)")
+    covered = lines.join(ours, key).join(marks.select(*key, captured.alias("captured")), key, "left")
+    open_records = covered.groupBy("id").agg(F.min(F.coalesce("captured", F.lit(False))).alias("ready")).filter("ready").select("id")
+    return covered.join(open_records, "id").groupBy(*key).agg(F.min("seq").alias("s"))
+
+
+def run_payment_state(deliveries: DataFrame, secret: str, payments: DataFrame, target: str | None = None) -> DataFrame:
+    """State of each known payment that anything was heard of: direct events as they came, settlements by the verdict frozen at their
+    first arrival and only as whole records.  Events of unknown payments stay in the tables until the payment is known."""
+    key = ["provider", "provider_transaction_id"]
+    within = lambda name: f"{target}/{name}" if target else None
+    marks = last_epoch(run_epochs(payment_marks(deliveries, secret), "payment-marks", "update", target=within("marks")), key)
+    settlements = run_settlements(deliveries, secret, payments, within("settlements"))
+    every = marks.join(settled_marks(marks, settlements, payments), key, "left").join(payments.select(*key).distinct(), key)
+    return pay.final_states(every).select(*key, "state")
+
+
+def run_balances(entries: DataFrame, accounts: DataFrame, target: str | None = None) -> DataFrame:
     """Running balance per account and currency; the few groups are combined per task before the state is touched."""
     sides = accounts.select(F.col("id").alias("account_id"), "normal_side")
     live = entries.join(sides, "account_id").groupBy("account_id", "currency").agg(
         F.sum(F.expr(SIGNED)).alias("balance_minor"), F.count(F.lit(1)).alias("entry_count"))
-    return last_epoch(run_epochs(live, "balances", "update"), ["account_id", "currency"])
+    return last_epoch(run_epochs(live, "balances", "update", target=target), ["account_id", "currency"])
 
 
-def run_settlements(deliveries: DataFrame, secret: str, payments: DataFrame) -> DataFrame:
-    """Insert-if-absent settlement records with a verdict judged once, at first arrival."""
+def run_settlements(deliveries: DataFrame, secret: str, payments: DataFrame, target: str | None = None) -> DataFrame:
+    """Insert-if-absent settlement records, header and lines, with a verdict judged once, at first arrival.
+
+    Which settlements were seen is streaming state by (provider, settlement id), so no stored epoch is read again.
+    """
     reports = parsed(deliveries, secret).filter("event_type = 'settlement.paid' and settlement is not null").select(
         "provider", "delivery_id", "received_at", "settlement")
 
@@ -180,18 +212,15 @@ def run_settlements(deliveries: DataFrame, secret: str, payments: DataFrame) ->
             F.expr("try_cast(settlement.settlementDate as date)").alias("settlement_date"), F.col("settlement.currency").alias("currency"),
             F.col("settlement.grossAmountMinor").alias("gross_amount_minor"), F.col("settlement.feeAmountMinor").alias("fee_amount_minor"),
             F.col("settlement.netAmountMinor").alias("net_amount_minor"), "settlement.lines")
-        new = first_per_key(heads, ["provider", "provider_settlement_id"], ["received_at", "delivery_id"]).withColumn(
-            "id", F.concat("provider", F.lit(":"), "provider_settlement_id"))
-        if epoch > 0:
-            stored = rows.sparkSession.read.option("basePath", out).parquet(out).filter(F.col("epoch") < epoch)
-            new = new.join(stored.select("id"), "id", "left_anti")
+        new = heads.withColumn("id", F.concat("provider", F.lit(":"), "provider_settlement_id"))
         lines = new.select(F.col("id").alias("settlement_record_id"), F.posexplode("lines").alias("pos", "l")).select(
             "settlement_record_id", F.col("l.providerTransactionId").alias("provider_transaction_id"), F.col("l.grossAmountMinor").alias("line_gross_minor"),
             F.col("l.netAmountMinor").alias("line_net_minor"), F.expr("pos + 1").alias("line_no"))
         verdicts = settlement.validate_settlements(new.drop("lines"), lines, payments).select("id", "validity", "rule")
-        return new.drop("lines", "delivery_id").join(verdicts, "id")
+        return new.join(verdicts, "id")
 
-    return run_epochs(reports, "settlements", "append", step).drop("epoch")
+    reports = reports.withColumn("settlement_id", F.col("settlement.providerSettlementId")).dropDuplicates(["provider", "settlement_id"]).drop("settlement_id")
+    return run_epochs(reports, "settlements", "append", step, target).drop("epoch")
 
 
 def stream_dead_letters(deliveries: DataFrame, secret: str) -> DataFrame:

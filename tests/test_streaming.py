@@ -1,5 +1,7 @@
 """Streams cut into several micro-batches in a shuffled order give what one batch gives."""
 
+import datetime as dt
+
 import pytest
 
 from conftest import SF
@@ -43,14 +45,49 @@ def test_provider_status(spark, scenario, pieces):
     assert rows(jobs.run_provider_status(stream(spark, pieces), SECRET), *columns) == rows(batch, *columns)
 
 
-def test_payment_state(spark, pieces):
+def test_payment_state(spark, scenario, pieces):
     whole = jobs.delivery_stream(jobs.streaming_session(spark), f"{SF}/events*.parquet")
     columns = ("provider_transaction_id", "state")
-    cut = rows(jobs.run_payment_state(stream(spark, pieces), SECRET), *columns)
-    assert cut == rows(jobs.run_payment_state(whole, SECRET), *columns)
+    known = scenario.event_payments
+    cut = rows(jobs.run_payment_state(stream(spark, pieces), SECRET, known), *columns)
+    assert cut == rows(jobs.run_payment_state(whole, SECRET, known), *columns)
     assert {s for _, s in cut} == {"CREATED", "AUTHORIZED", "CAPTURED", "SETTLED", "FAILED", "REFUNDED"}
 
 
+MARK = "struct<received_at timestamp_ntz, delivery_id string>"
+
+
+def test_a_settlement_takes_effect_only_as_a_whole(spark):
+    at = lambda i: (dt.datetime(2024, 1, i), f"d{i}")
+    marks = spark.createDataFrame([("P", "t1", at(1), None), ("P", "t2", None, None), ("P", "t3", at(2), None), ("P", "t4", at(5), at(4)), ("P", "t5", at(3), None)],
+                                  f"provider string, provider_transaction_id string, c {MARK}, f {MARK}")
+    line = lambda *names: [(n, 1, 1) for n in names]
+    records = spark.createDataFrame(
+        [("half", "VALID", line("t1", "t2")), ("ready", "VALID", line("t3", "stranger")), ("failed", "VALID", line("t3", "t4")), ("refused", "INVALID", line("t5"))],
+        "id string, validity string, lines array<struct<providerTransactionId string, grossAmountMinor bigint, netAmountMinor bigint>>").selectExpr(
+        "*", "'P' as provider", "timestamp_ntz'2024-02-01 00:00:00' as received_at", "id as delivery_id")
+    payments = spark.createDataFrame([("P", f"t{i}") for i in range(1, 6)], "provider string, provider_transaction_id string")
+    got = jobs.settled_marks(marks, records, payments).collect()
+    assert [(r.provider_transaction_id, r.s.delivery_id) for r in got] == [("t3", "ready")]
+
+
+def test_a_stopped_stream_goes_on_where_it_ended(spark, scenario, pieces):
+    first, both, target = new_path(spark, "first"), new_path(spark, "both"), new_path(spark, "target")
+    known = scenario.event_payments
+    table = spark.read.parquet(pieces)
+    for path in (first, both):
+        table.filter("event_id % 2 = 0").write.parquet(path)
+    table.filter("event_id % 2 = 1").write.mode("append").parquet(both)
+    part = jobs.run_payment_state(stream(spark, first), SECRET, known, target)
+    assert part.count() > 0
+    table.filter("event_id % 2 = 1").write.mode("append").parquet(first)  # more arrives
+    resumed = jobs.run_payment_state(stream(spark, first), SECRET, known, target)
+    columns = ("provider_transaction_id", "state")
+    assert rows(resumed, *columns) == rows(jobs.run_payment_state(stream(spark, both), SECRET, known), *columns)
+    again = jobs.run_payment_state(stream(spark, first), SECRET, known, target)  # nothing new
+    assert rows(again, *columns) == rows(resumed, *columns)
+
+
 def test_settlements_are_inserted_once(spark, scenario, pieces):
     live = stream(spark, pieces)
     got = jobs.run_settlements(live, SECRET, scenario.event_payments)
@@ -70,7 +107,7 @@ def test_balances(spark, scenario):
     assert rows(got, *columns) == rows(batch, *columns)
 
 
-def test_empty_stream_leaves_an_empty_table(spark, pieces):
+def test_empty_stream_leaves_an_empty_table(spark, scenario, pieces):
     none = new_path(spark, "none")
     spark.read.parquet(pieces).limit(0).write.parquet(none)
-    assert jobs.run_payment_state(stream(spark, none), SECRET).isEmpty()
+    assert jobs.run_payment_state(stream(spark, none), SECRET, scenario.event_payments).isEmpty()
