@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from settlespark import vocab
 from settlespark.operators import checks as k
 from settlespark.plans import attacks, cases
 from settlespark.plans.derive_sql import CTE
 from settlespark.plans.registry import query
+from settlespark.sources.scenario import Scenario
 
 
 @query("ledger_unbalanced", """SELECT *, debits - credits AS difference FROM (
@@ -144,6 +145,61 @@ def _(s):
     return k.case_row_violations(bent)
 
 
+# Declared references, vocabularies and keys beside those spelled out below.  Every seventh or so row, by the last character of its id, is
+# bent: a parent is missing, a value is foreign, a row comes twice.
+_BENT = "ascii(right({0}, 1)) % 7 = 3"
+
+# (child table, row id, column, parent table): the parent's key is id
+_REFERENCES = [
+    ("payments", "id", "fee_policy_id", "fee_policies"), ("payments", "id", "settlement_record_id", "settlement_records"),
+    ("state_history", "id", "payment_id", "payments"), ("ledger_links", "payment_id", "ledger_transaction_id", "ledger_transactions"),
+    ("ledger_transactions", "id", "reversal_of_transaction_id", "ledger_transactions"), ("payout_lines", "payout_record_id", "payment_id", "payments"),
+    ("payout_records", "id", "ledger_transaction_id", "ledger_transactions"), ("cases_b", "id", "payment_id", "payments"),
+]
+_CASE_REASONS = [name for name, *_ in vocab.OUTCOMES]
+# (table, row id, column, vocabulary); null is no value
+_VOCABULARIES = [
+    ("payments", "id", "currency", vocab.CURRENCIES), ("state_history", "id", "from_state", vocab.PAYMENT_STATES), ("state_history", "id", "to_state", vocab.PAYMENT_STATES),
+    ("state_history", "id", "trigger_type", vocab.TRIGGER_TYPES), ("ledger_links", "ledger_transaction_id", "role", vocab.LINK_ROLES),
+    ("ledger_transactions", "id", "currency", vocab.CURRENCIES), ("ledger_transactions", "id", "state", ["POSTED"]), ("settlement_records", "id", "validity", ["VALID", "INVALID"]),
+    ("provider_transactions", "id", "provider_status", vocab.PAYMENT_STATES), ("provider_transactions", "id", "currency", vocab.CURRENCIES),
+    ("payout_records", "id", "status", vocab.PAYOUT_STATUSES), ("payout_records", "id", "currency", vocab.CURRENCIES),
+    ("fee_policies", "id", "currency", vocab.CURRENCIES), ("accounts", "id", "normal_side", ["DEBIT", "CREDIT"]),
+    ("cases_b", "id", "status", vocab.CASE_STATUSES), ("cases_b", "id", "reason", _CASE_REASONS), ("cases_b", "id", "severity", ["LOW", "MEDIUM", "HIGH"]),
+]
+# (table, row id that decides on the repetition, key columns)
+_KEYS = [
+    ("payments", "id", ["id"]), ("ledger_transactions", "id", ["id"]), ("state_history", "id", ["id"]), ("fee_policies", "id", ["code", "currency"]),
+    ("accounts", "id", ["code"]), ("payout_records", "id", ["id"]), ("ledger_links", "ledger_transaction_id", ["payment_id", "ledger_transaction_id", "role"]),
+    ("provider_transactions", "id", ["id"]), ("cases_b", "id", ["id"]),
+]
+
+
+def _rows(s: Scenario, name: str) -> DataFrame:
+    return cases.cases_b(s) if name == "cases_b" else getattr(s, name)
+
+
+def _reference_sql() -> str:
+    return "".join(
+        f"""
+UNION ALL SELECT '{child}.{column}', c.{row}, c.{column} FROM {child} c WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} t WHERE t.id = c.{column} AND NOT {_BENT.format('t.id')})"""
+        for child, row, column, parent in _REFERENCES)
+
+
+def _vocabulary_sql() -> str:
+    return "".join(
+        f"""
+UNION ALL SELECT '{table}.{column}', {row}, v FROM (SELECT {row}, CASE WHEN {_BENT.format(row)} THEN 'BENT' ELSE {column} END AS v FROM {table}) WHERE v NOT IN ({", ".join(f"'{w}'" for w in words)})"""
+        for table, row, column, words in _VOCABULARIES)
+
+
+def _key_sql() -> str:
+    return "".join(
+        f"""
+UNION ALL SELECT '{table}({", ".join(keys)})', concat_ws('|', {", ".join(keys)}), count(*) FROM (SELECT * FROM {table} UNION ALL SELECT * FROM {table} WHERE {_BENT.format(row)}) GROUP BY 2 HAVING count(*) > 1"""
+        for table, row, keys in _KEYS)
+
+
 @query("foreign_key_orphans", """
 SELECT 'ledger_entries.transaction_id' AS relation, e.id AS child_id, e.transaction_id AS missing_parent FROM attacked_entries e WHERE NOT EXISTS (SELECT 1 FROM ledger_transactions t WHERE t.id = e.transaction_id)
 UNION ALL SELECT 'ledger_entries.account_id', e.id, e.account_id FROM attacked_entries e WHERE NOT EXISTS (SELECT 1 FROM accounts t WHERE t.id = e.account_id)
@@ -151,7 +207,7 @@ UNION ALL SELECT 'ledger_transactions.reversal_of', h.id, h.reversal_of_transact
 UNION ALL SELECT 'payment_ledger_transactions.payment_id', l.ledger_transaction_id, l.payment_id FROM ledger_links l WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = l.payment_id AND p.k % 179 <> 3)
 UNION ALL SELECT 'provider_transactions.payment_id', r.id, r.payment_id FROM provider_transactions r WHERE r.payment_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM payments p WHERE p.id = r.payment_id AND p.k % 179 <> 3)
 UNION ALL SELECT 'settlement_record_lines.settlement_record_id', CAST(l.line_no AS VARCHAR), l.settlement_record_id FROM statement_lines l WHERE NOT EXISTS (SELECT 1 FROM settlement_records r WHERE r.id = l.settlement_record_id AND r.provider_settlement_id NOT LIKE 'set2_%')
-UNION ALL SELECT 'payout_lines.payout_record_id', l.payment_id, l.payout_record_id FROM attacked_payout_lines l WHERE NOT EXISTS (SELECT 1 FROM payout_records r WHERE r.id = l.payout_record_id)""")
+UNION ALL SELECT 'payout_lines.payout_record_id', l.payment_id, l.payout_record_id FROM attacked_payout_lines l WHERE NOT EXISTS (SELECT 1 FROM payout_records r WHERE r.id = l.payout_record_id)""" + _reference_sql())
 def _(s):
     e, pay = attacks.entries(s), s.payments.filter("k % 179 <> 3")
     return k.foreign_key_orphans([
@@ -164,6 +220,7 @@ def _(s):
         ("settlement_record_lines.settlement_record_id", s.statement_lines, F.col("line_no").cast("string"), "settlement_record_id",
          s.settlement_records.filter("provider_settlement_id not like 'set2_%'"), "id"),
         ("payout_lines.payout_record_id", payout_lines(s), F.col("payment_id"), "payout_record_id", s.payout_records, "id"),
+        *[(f"{child}.{column}", _rows(s, child), F.col(row), column, _rows(s, parent).filter("not " + _BENT.format("id")), "id") for child, row, column, parent in _REFERENCES],
     ])
 
 
@@ -174,7 +231,7 @@ UNION ALL SELECT 'settlement_records(provider, provider_settlement_id)', provide
 UNION ALL SELECT 'settlement_record_lines(record, line_no)', settlement_record_id || '|' || line_no, count(*) FROM statement_lines GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'ledger_entries(transaction_id, line_no)', transaction_id || '|' || line_no, count(*) FROM attacked_entries GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'payout_lines(payment_id)', payment_id, count(*) FROM attacked_payout_lines GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'reconciliation_cases(open subject, reason)', coalesce(payment_id, '~') || '|' || provider_transaction_id || '|' || reason, count(*) FROM (SELECT * FROM cases_b UNION ALL SELECT * FROM cases_b WHERE occurrence_count > 1) WHERE status IN ('OPEN','INVESTIGATING') GROUP BY 2 HAVING count(*) > 1""")
+UNION ALL SELECT 'reconciliation_cases(open subject, reason)', coalesce(payment_id, '~') || '|' || provider_transaction_id || '|' || reason, count(*) FROM (SELECT * FROM cases_b UNION ALL SELECT * FROM cases_b WHERE occurrence_count > 1) WHERE status IN ('OPEN','INVESTIGATING') GROUP BY 2 HAVING count(*) > 1""" + _key_sql())
 def _(s):
     open_cases = cases.cases_b(s).filter("status in ('OPEN', 'INVESTIGATING')").withColumn("payment_key", F.coalesce("payment_id", F.lit("~")))
     return k.unique_key_breaks([
@@ -185,6 +242,7 @@ def _(s):
         ("ledger_entries(transaction_id, line_no)", attacks.entries(s), ["transaction_id", "line_no"]),
         ("payout_lines(payment_id)", payout_lines(s), ["payment_id"]),
         ("reconciliation_cases(open subject, reason)", open_cases.unionByName(open_cases.filter("occurrence_count > 1")), ["payment_key", "provider_transaction_id", "reason"]),
+        *[(f"{table}({', '.join(keys)})", _rows(s, table).unionByName(_rows(s, table).filter(_BENT.format(row))), keys) for table, row, keys in _KEYS],
     ])
 
 
@@ -203,7 +261,7 @@ UNION ALL SELECT 'ledger_transactions.source_type', id, source_type FROM attacke
 UNION ALL SELECT 'ledger_entries.direction', id, direction FROM attacked_entries WHERE direction NOT IN ('DEBIT','CREDIT')
 UNION ALL SELECT 'ledger_entries.currency', id, currency FROM attacked_entries WHERE currency NOT IN ('EGP','USD','EUR','GBP')
 UNION ALL SELECT 'settlement_records.currency', id, currency FROM settlement_records WHERE currency NOT IN ('EGP','USD','EUR','GBP')
-UNION ALL SELECT 'payments.state', id, s FROM (SELECT id, CASE WHEN k % 181 = 4 THEN 'LIMBO' ELSE state END AS s FROM payments) WHERE s NOT IN ('CREATED','AUTHORIZED','CAPTURED','SETTLED','FAILED','REFUNDED')""")
+UNION ALL SELECT 'payments.state', id, s FROM (SELECT id, CASE WHEN k % 181 = 4 THEN 'LIMBO' ELSE state END AS s FROM payments) WHERE s NOT IN ('CREATED','AUTHORIZED','CAPTURED','SETTLED','FAILED','REFUNDED')""" + _vocabulary_sql())
 def _(s):
     h, e = attacks.headers(s), attacks.entries(s)
     bent = s.payments.withColumn("state", F.expr("case when k % 181 = 4 then 'LIMBO' else state end"))
@@ -214,4 +272,6 @@ def _(s):
         ("ledger_entries.currency", e, "id", "currency", vocab.CURRENCIES),
         ("settlement_records.currency", s.settlement_records, "id", "currency", vocab.CURRENCIES),
         ("payments.state", bent, "id", "state", vocab.PAYMENT_STATES),
+        *[(f"{table}.{column}", _rows(s, table).filter(F.col(column).isNotNull() | F.expr(_BENT.format(row))).withColumn(column, F.expr(
+            f"case when {_BENT.format(row)} then 'BENT' else {column} end")).withColumn("_row", F.col(row)), "_row", column, words) for table, row, column, words in _VOCABULARIES],
     ])
