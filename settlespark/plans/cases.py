@@ -163,4 +163,4 @@ def _(s):
 @query("batch_summary", f"""SELECT s.*, c.cases_opened, c.cases_reused FROM ({matching.SUMMARY_SQL.format(src='results_b')}) s
 JOIN (SELECT batch_id, count(*) FILTER (NOT reused) AS cases_opened, count(*) FILTER (reused) AS cases_reused FROM detected_b GROUP BY batch_id) c ON c.batch_id = s.batch_id""")
 def _(s):
-    return matching.m.batch_summary(matching.results(s, WINDOW_B, "rbat_b")).join(c.detection_counts(detected_b(s)), "batch_id")
+    return matching.m.batch_summary(results_of(s, "b")).join(c.detection_counts(detected_b(s)), "batch_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -147,6 +147,11 @@ def results(s: Scenario, window=WINDOW, batch="rbat_all") -> DataFrame:
     return m.recon_results(classified(s, window), batch)
 
 
+def results_b(s: Scenario) -> DataFrame:
+    """The stored results of batch B."""
+    return s.keep("results_b", lambda: results(s, WINDOW_B, "rbat_b"))
+
+
 RESULT_COLUMNS = [
     "id", "batch_id", "subject_key", "outcome", "internal_payment_id", "provider", "provider_transaction_id", "expected_gross_minor",
     "expected_fee_minor", "expected_net_minor", "expected_currency", "expected_status", "actual_gross_minor", "actual_fee_minor",
@@ -172,6 +177,20 @@ def _(s):
     return population(s)
 
 
+_MODES = {m.INTERNAL: "side = 'BOTH'", m.PROVIDER_ONLY: "from_provider", m.BOTH: "true"}
+_ONE_PROVIDER = "SIMULATED_PSP"
+
+
+@query("recon_population_modes", " UNION ALL ".join(f"""SELECT '{mode}' AS mode, provider, provider_transaction_id, CASE WHEN '{mode}' = 'PROVIDER_ONLY' THEN 'PROVIDER' ELSE side END AS side, subject_key
+FROM (SELECT *, EXISTS (SELECT 1 FROM population_provider_all q WHERE q.provider = p.provider AND q.provider_transaction_id = p.provider_transaction_id) AS from_provider FROM population_all p)
+WHERE provider = '{_ONE_PROVIDER}' AND {condition}""" for mode, condition in _MODES.items()))
+def _(s):
+    """One batch of one provider in each of the three modes."""
+    parts = [m.recon_population(s.payments, s.provider_transactions, s.settlement_records, s.statement_lines, WINDOW, mode, _ONE_PROVIDER)
+             .withColumn("mode", F.lit(mode)) for mode in _MODES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("expected_view", "SELECT * FROM expected_sides")
 def _(s):
     return sides(s)[0]
@@ -216,7 +235,7 @@ _STORED_B = "SELECT r.* FROM results_b r JOIN population_a p ON p.subject_key =
 
 def _stored_b(s):
     """What a first attempt of batch B left behind: the part of its window that batch A also covers."""
-    return results(s, WINDOW_B, "rbat_b").join(population(s, WINDOW_A).select("subject_key"), "subject_key", "left_semi")
+    return results_b(s).join(population(s, WINDOW_A).select("subject_key"), "subject_key", "left_semi")
 
 
 @query("unprocessed_subjects", """SELECT 'rbat_b' AS batch_id, subject_key, provider, provider_transaction_id FROM population_b
@@ -227,7 +246,7 @@ def _(s):
 
 @query("append_results", """SELECT batch_id, subject_key, outcome, delta_minor FROM results_b WHERE subject_key NOT IN (SELECT subject_key FROM population_a)""")
 def _(s):
-    return m.append_results(_stored_b(s), results(s, WINDOW_B, "rbat_b")).select("batch_id", "subject_key", "outcome", "delta_minor")
+    return m.append_results(_batch_b_subjects(s), _stored_b(s), *sides(s), "rbat_b").select("batch_id", "subject_key", "outcome", "delta_minor")
 
 
 @query("case_severity", "SELECT r.subject_key, r.outcome, o.requires_case, o.severity FROM results_all r JOIN outcomes o ON o.outcome = r.outcome")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from settlespark import vocab
 from settlespark.operators import cases, matching as m, postings
 
@@ -55,12 +57,15 @@ def batch(spark):
     return tuple(spark.createDataFrame(r, s) for r, s in ((pays, PAY), (prov, PROV), (recs, REC), (lines, LINE)))
 
 
-def results(spark, pays, prov, recs, lines, batch_id="b", window=WINDOW, mode=m.BOTH):
+def views(spark, pays, prov, recs, lines, window=WINDOW, mode=m.BOTH):
     made = postings.post_captures(pays.filter("captured_at is not null"))
     links = postings.link_payment_postings(made, made.limit(0), made.limit(0))
     ours = m.expected_view(pays, links, postings.headers(made), postings.entries(made), recs)
-    population = m.recon_population(pays, prov, recs, lines, window, mode)
-    return m.recon_results(m.classify_subjects(m.recon_subjects(population, ours, m.provider_view(prov, recs, lines))), batch_id)
+    return m.recon_population(pays, prov, recs, lines, window, mode), ours, m.provider_view(prov, recs, lines)
+
+
+def results(spark, pays, prov, recs, lines, batch_id="b", window=WINDOW, mode=m.BOTH):
+    return m.recon_results(m.classify_subjects(m.recon_subjects(*views(spark, pays, prov, recs, lines, window, mode))), batch_id)
 
 
 def test_fifty_subjects(spark):
@@ -121,8 +126,18 @@ def test_second_attempt_adds_only_what_is_missing(spark):
     data = batch(spark)
     all_rows = results(spark, *data)
     kept = all_rows.filter("subject_key like '%matched%'")
-    more = m.append_results(kept, all_rows)
-    assert more.count() == 45 and m.append_results(all_rows, all_rows).isEmpty()
+    population, ours, theirs = views(spark, *data)
+    batch_id = all_rows.first().batch_id
+    who = population.withColumn("batch_id", F.lit(batch_id))
+    more = m.append_results(who, kept, ours, theirs, batch_id)
+    assert more.count() == 45 and {tuple(r) for r in more.select("subject_key", "outcome").collect()} <= {tuple(r) for r in all_rows.select("subject_key", "outcome").collect()}
+    assert m.append_results(who, all_rows, ours, theirs, batch_id).isEmpty()
+
+
+def test_a_batch_belongs_to_one_provider(spark):
+    data = batch(spark)
+    assert m.recon_population(*data, WINDOW, m.BOTH, "PSP_B").isEmpty()
+    assert m.recon_population(*data, WINDOW, m.BOTH, P).count() == 50
 
 
 def test_second_run_reuses_every_case(spark):
