@@ -168,16 +168,16 @@ def _families(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, ids = [], []
-        kinds = [pa.string(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+        names = ["bucket", "kind", "first", "second"]
         for batch in batches:
-            for kind, first, second in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                if kind == "part":
-                    marks.append(np.frombuffer(first, np.uint64))
-                    ids.append(np.frombuffer(second, np.int64))
-                    continue
-                sizes = np.frombuffer(second, "<i8")
-                nulls, values = np.frombuffer(first[: len(sizes)], np.int8).astype(bool), np.frombuffer(first[len(sizes):], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(["size"] * len(sizes), kinds[0]), pa.array(values, kinds[1], mask=nulls), pa.array(sizes, kinds[2])], ["kind", "a", "b"])
+            at, kind, first, second = (c.to_pylist() for c in batch.columns)
+            for f, s in ((f, s) for k, f, s in zip(kind, first, second) if k == "part"):
+                marks.append(np.frombuffer(f, np.uint64))
+                ids.append(np.frombuffer(s, np.int64))
+            rest = [i for i, k in enumerate(kind) if k != "part"]
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in rest], k) for c, k in zip((at, kind, first, second), kinds)], names)
         if marks:
             mark, owner = np.concatenate(marks), np.concatenate(ids)
             marks.clear()
@@ -188,10 +188,33 @@ def _families(docs: DataFrame, n: int, percent: int) -> DataFrame:
             least = np.repeat(owner[begins], np.diff(np.append(begins, len(mark))))
             apart = owner != least
             a, b = forest_edges(owner[apart], least[apart])
+            bucket = (_mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            a, b, bucket = a[order], b[order], bucket[order]
+            ends = np.searchsorted(bucket, np.arange(buckets + 1))
+            some = [j for j in range(buckets) if ends[j + 1] > ends[j]]
+            bodies = [[c[ends[j]:ends[j + 1]].tobytes() for j in some] for c in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((some, ["pair"] * len(some), *bodies), kinds)], names)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same pair comes from many buckets; each is told once."""
+        pairs = []
+        kinds = [pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for kind, first, second in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                if kind == "pair":
+                    pairs.append(np.stack([np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)]))
+                    continue
+                sizes = np.frombuffer(second, "<i8")
+                nulls, values = np.frombuffer(first[: len(sizes)], np.int8).astype(bool), np.frombuffer(first[len(sizes):], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(["size"] * len(sizes), kinds[0]), pa.array(values, kinds[1], mask=nulls), pa.array(sizes, kinds[2])], ["kind", "a", "b"])
+        if pairs:
+            a, b = forest_edges(*np.concatenate(pairs, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(a), kinds[0]), pa.array(a, kinds[1]), pa.array(b, kinds[2])], ["kind", "a", "b"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(cut, FOUND)
-    return rows.repartition(buckets, "bucket").mapInArrow(meet, "kind string, a bigint, b bigint")
+    met = rows.repartition(buckets, "bucket").mapInArrow(meet, FOUND)
+    return met.repartition(buckets, "bucket").mapInArrow(settle, "kind string, a bigint, b bigint")
 
 
 class Tree:
