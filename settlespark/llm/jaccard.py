@@ -3,8 +3,8 @@
 Two sets with similarity t or more differ in at most (|x| + |y|) (1 - t) / (1 + t) elements.  Sets are divided by hash into one more part
 than that (and a few), so two similar sets agree in a whole part: parts with equal content say which sets may be similar, without loss.
 The sets of a connected family of such pairs are then joined exactly: written in one global order they are stored in a prefix tree, and
-each set runs through the tree once, sharing the overlap of common beginnings and leaving a subtree when the remaining length
-cannot bring enough overlap or when everything below is connected with it already.
+each set runs through the tree once, along the branches that lead to sets with a rare element in common which are not connected with
+it already, sharing the overlap of common beginnings and leaving a subtree when the remaining length cannot bring enough overlap.
 """
 
 from __future__ import annotations
@@ -229,7 +229,8 @@ class Tree:
         self.width = len(elements)
         order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
         # Nodes: run of elements, children, sets that end there, sizes and members below.
-        self.run, self.children, self.here = [np.zeros(0, np.int64)], [[]], [[]]
+        self.run, self.children, self.here, self.up = [np.zeros(0, np.int64)], [[]], [[]], [-1]
+        self.node = [0] * len(sets)
         path, depths = [0], [0]
         previous = np.zeros(0, np.int64)
         for i in order:
@@ -248,6 +249,8 @@ class Tree:
                 self.here.append([])
                 node = len(self.run) - 1
                 self.children[path[-1]][-1] = node
+                self.up.append(path[-1])
+                self.up[below] = node
                 self.run[below] = self.run[below][keep:]
                 path.append(node)
                 depths.append(common)
@@ -256,12 +259,14 @@ class Tree:
                 self.children.append([])
                 self.here.append([])
                 self.children[path[-1]].append(len(self.run) - 1)
+                self.up.append(path[-1])
                 path.append(len(self.run) - 1)
                 depths.append(len(own))
             self.here[path[-1]].append(i)
+            self.node[i] = path[-1]
             previous = own
         count = len(self.run)
-        self.least, self.most, self.members = [1 << 60] * count, [0] * count, [[] for _ in range(count)]
+        self.least, self.most = [1 << 60] * count, [0] * count
         stack = [(0, False)]
         while stack:
             node, ready = stack.pop()
@@ -269,29 +274,44 @@ class Tree:
                 stack.append((node, True))
                 stack += [(c, False) for c in self.children[node]]
                 continue
-            sizes = [len(self.sets[i]) for i in self.here[node]] + [self.least[c] for c in self.children[node]]
-            self.least[node] = min(sizes, default=1 << 60)
-            self.most[node] = max([len(self.sets[i]) for i in self.here[node]] + [self.most[c] for c in self.children[node]], default=0)
-            self.members[node] = self.here[node] + [i for c in self.children[node] for i in self.members[c][:1]]
+            sizes = [len(self.sets[i]) for i in self.here[node]]
+            self.least[node] = min(sizes + [self.least[c] for c in self.children[node]], default=1 << 60)
+            self.most[node] = max(sizes + [self.most[c] for c in self.children[node]], default=0)
+
+    def _rare(self, percent: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The rarest elements of each set, one of which every similar set has among its own, and who has each of them.
+
+        Elements are numbered from the most frequent on, so the rarest are the last.
+        """
+        rare = [s[-(len(s) - -(-len(s) * percent // 100) + 1):] for s in self.sets]
+        element, owner = np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        order = np.argsort(element, kind="stable")
+        return rare, np.searchsorted(element[order], np.arange(self.width + 1)), owner[order]
 
     def link(self, percent: int, forest: Forest) -> None:
         """Join in ``forest`` all sets that are similar, directly or over others."""
-        trees = len(self.sets)
+        rare, begins, owners = self._rare(percent)
+        label = np.arange(len(self.sets))  # the component of each set, so far
         flags = np.zeros(self.width, dtype=bool)
-        # A subtree that was found to be of one component stays so: its component may only grow.
-        single = [False] * len(self.run)
+        asked = [-1] * len(self.run)
         for q, query in enumerate(self.sets):
-            if trees == 1:
-                return
+            near = np.unique(np.concatenate([owners[a:b] for a, b in zip(begins[rare[q]], begins[rare[q] + 1])]))
+            near = near[label[near] != label[q]]
+            if not len(near):
+                continue
+            # Only the branches that lead to such sets are walked.
+            for i in near.tolist():
+                node = self.node[i]
+                while node >= 0 and asked[node] != q:
+                    asked[node] = q
+                    node = self.up[node]
             size = len(query)
             flags[query] = True
             low, high = -(-size * percent // 100), size * 100 // percent
             stack = [(0, 0, 0)]
             while stack:
                 node, overlap, depth = stack.pop()
-                if self.least[node] > high or self.most[node] < low:
-                    continue
-                if single[node] and forest.root(self.members[node][0]) == forest.root(q):
+                if asked[node] != q or self.least[node] > high or self.most[node] < low:
                     continue
                 run = self.run[node]
                 overlap += int(np.count_nonzero(flags[run])) if len(run) else 0
@@ -300,25 +320,11 @@ class Tree:
                 if depth - overlap > (100 * min(self.most[node], high) - percent * size) // (100 + percent):
                     continue
                 for i in self.here[node]:
-                    if i != q and 100 * overlap >= percent * (size + depth - overlap):
-                        trees -= forest.join(i, q)
+                    if label[i] != label[q] and 100 * overlap >= percent * (size + depth - overlap):
+                        forest.join(i, q)
+                        label[label == label[i]] = label[q]
                 stack += [(c, overlap, depth) for c in self.children[node]]
             flags[query] = False
-            if q % 64 == 0:
-                self._refresh(single, forest)
-
-    def _refresh(self, single: list[bool], forest: Forest) -> None:
-        roots: list[int] = [-1] * len(self.run)  # the component of all below, -2 if several
-        stack = [(0, False)]
-        while stack:
-            node, ready = stack.pop()
-            if not ready:
-                stack.append((node, True))
-                stack += [(c, False) for c in self.children[node]]
-                continue
-            seen = {forest.root(i) for i in self.here[node]} | {roots[c] for c in self.children[node]}
-            roots[node] = seen.pop() if len(seen) == 1 else -2
-            single[node] = roots[node] >= 0
 
 
 def similar_within(ids: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
