@@ -61,11 +61,42 @@ def op5_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
 
+SQL["op10_prefix_tree_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS spot FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN both_ways e ON e.x = r.spot)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, r.component_id FROM s JOIN (SELECT doc_id, min(spot) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id"""
+
+
 @query
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+SQL["op3_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i FROM d),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM strings),
+later AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM ranked WHERE nth > 1),
+marked AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM marked GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_ FROM runs),
+told AS (
+  SELECT d.doc_id, any_value(d.h) AS h, count(g.run) AS n_spans, coalesce(sum(g.z - g.a), 0) AS n_removed, coalesce(max(g.z), 0) AS last,
+    coalesce(string_agg(substr(d.h, 2 * g.from_ + 1, 2 * (g.a - g.from_)), '' ORDER BY g.run), '') AS head
+  FROM d LEFT JOIN gaps g ON g.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(head || substr(h, 2 * last + 1))) AS kept_sha256 FROM told"""
+
+
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -83,6 +114,17 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op8_pruned_graph"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS spot FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.spot)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM (SELECT vec_id, min(spot) AS component_id FROM reach GROUP BY vec_id) m LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) n ON n.x = m.vec_id"""
+
+
 @query
 def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
