@@ -19,8 +19,8 @@ from settlespark.session import written
 LEAST_COSINE = 0.93
 #: Vectors per pivot, most pivots in all (the bound of the sample and of its broadcast), shards of a vector, vectors of a shard in one task.
 PER_PIVOT, MOST_PIVOTS, OVERLAP, BLOCK = 800, 8192, 3, 1500
-#: Neighbours that are looked at and kept, the stretch of robust pruning, and the width of the greedy search.
-LOOKED_AT, DEGREE, STRETCH, BEAM = 64, 24, 1.2, 24
+#: Neighbours that are looked at and kept, far ones among them, the stretch of robust pruning, the width of the greedy search and its medoids.
+LOOKED_AT, DEGREE, FAR, STRETCH, BEAM, MEDOIDS = 64, 24, 8, 1.2, 48, 16
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -74,6 +74,9 @@ def graph_lists(x: np.ndarray) -> list[np.ndarray]:
     """Pruned lists with the edges back, and an edge to whatever would not be reached from the medoid."""
     n = len(x)
     kept = robust_prune(x)
+    # Some edges to anywhere: in high dimensions the near ones alone don't lead across the cloud.
+    far = np.random.default_rng(n).integers(0, n, (n, FAR)) if n > DEGREE else np.full((n, 1), -1)
+    kept = np.concatenate([kept, np.where(far == np.arange(n)[:, None], -1, far)], axis=1)
     lists = [set(r[r >= 0].tolist()) for r in kept]
     for i, r in enumerate(kept):
         for j in r[r >= 0].tolist():
@@ -101,8 +104,21 @@ def medoid(x: np.ndarray) -> int:
     return int(np.argmax(x @ x.mean(axis=0)))
 
 
+def medoids(x: np.ndarray) -> list[int]:
+    """The medoid, and those of the parts that lie nearest to a few vectors spread over the rows."""
+    n = len(x)
+    centres = x[np.linspace(0, n - 1, min(MEDOIDS, n)).astype(int)]
+    part = np.argmax(x @ centres.T, axis=1)
+    found = [medoid(x)]
+    for k in range(len(centres)):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            found.append(int(own[medoid(x[own])]))
+    return list(dict.fromkeys(found))
+
+
 def range_search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs with cosine >= least that greedy search from the medoid finds; all queries move together.
+    """(query, vector) pairs with cosine >= least that greedy search from the medoids finds; all queries move together.
 
     Each round every query expands the nearest vector in its beam; when its beam is done it goes on with all found vectors in range
     until none is left, so a dense neighbourhood is walked to its end.
@@ -114,10 +130,10 @@ def range_search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], le
         table[i, : len(r)] = r
     sim = np.full((nq, n), -np.inf, dtype=np.float32)  # of what was visited
     expanded = np.zeros((nq, n), dtype=bool)
-    start = medoid(x)
-    sim[:, start] = queries @ x[start]
+    start = np.array(medoids(x))
+    sim[:, start] = queries @ x[start].T
     beam = np.full((nq, BEAM), -1, dtype=np.int64)
-    beam[:, 0] = start
+    beam[:, :len(start)] = start[np.argsort(-sim[:, start], axis=1, kind="stable")]
 
     def expand(q: np.ndarray, node: np.ndarray) -> None:
         expanded[q, node] = True
