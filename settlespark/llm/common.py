@@ -98,9 +98,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label
     )
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Edges point downwards.  An edge whose lower end has something below moves there; most end in a least node already, and the many
+        # edges of such a hub are told by a bitmap instead of a join on it.
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        flagged = _flagged(edges, "b", least, "a", FILTER_BITS)
+        lower = least.select(F.col("a").alias("_u"), F.col("m").alias("_m"))
+        moved = flagged.where("_maybe").join(lower, F.col("b") == F.col("_u"), "left").select("a", F.coalesce("_m", "b").alias("b"))
+        large = moved.unionByName(flagged.where("not _maybe").select("a", "b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
