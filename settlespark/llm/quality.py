@@ -22,6 +22,8 @@ CONSISTENCY = 1.362
 CUTOFF = 53.0
 #: Groups of fewer documents are estimated together; fewer than that in all are not judged by distance.
 LEAST_GROUP = 50
+#: Shares into which the rows of a group are dealt when they meet the facts of their group.
+SALTS = 32
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -78,6 +80,14 @@ def _transformed(stats: DataFrame) -> DataFrame:
     )
 
 
+def _beside(rows: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
+    """Each row with the facts of its group.  A group may hold a third of all rows, so its one row of facts is repeated for
+    ``SALTS`` shares of it."""
+    numbers = [c for c in rows.columns if c.startswith("x_")]
+    shares = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*numbers), F.lit(SALTS)).cast("int")).join(shares, ["grp", "_salt"], how).drop("_salt")
+
+
 def _quantised(squared: Column) -> Column:
     """A squared distance on a logarithmic grid, of which there are only some ten thousand steps: exact percentiles stay small."""
     return F.round(F.log1p(squared) * 1000).cast("bigint")
@@ -108,7 +118,7 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Squared Mahalanobis distances by forward substitution."""
     names = list(FEATURES)
     keep = [c for c in rows.columns if c != "d2"]
-    out = rows.select(*keep).join(estimates, "grp", "left")
+    out = _beside(rows.select(*keep), estimates)
     for i, a in enumerate(names):
         solved = sum((F.col(f"l_{a}_{k}") * F.col(f"z_{k}") for k in names[:i]), F.lit(0.0))
         out = out.withColumn(f"z_{a}", (F.col(a) - F.col(f"mean_{a}") - solved) / F.col(f"l_{a}_{a}"))
@@ -118,7 +128,7 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def _core(rows: DataFrame) -> DataFrame:
     """Mark the rows whose distance is within the core share of their group; ties at the border are all inside."""
     border = rows.groupBy("grp").agg(F.percentile(_quantised(F.col("d2")), F.lit(CORE)).alias("_border"))
-    return rows.join(border, "grp", "left").withColumn("inside", _quantised(F.col("d2")) <= F.col("_border")).drop("_border")
+    return _beside(rows, border).withColumn("inside", _quantised(F.col("d2")) <= F.col("_border")).drop("_border")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def judge(docs: DataFrame) -> DataFrame:
     # Start: independent robust scales.
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     start = used.groupBy("grp").agg(*[F.percentile(a, quarters).alias(f"q_{a}") for a in names])
-    scaled = used.join(start, "grp")
+    scaled = _beside(used, start, "inner")
     unit = lambda a: (F.col(a) - F.col(f"q_{a}")[1]) / (FEATURES[a] + (F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349)
     scaled = scaled.select("grp", *names, sum((unit(a) * unit(a) for a in names), F.lit(0.0)).alias("d2"))
     estimates = None
