@@ -339,6 +339,10 @@ def similar_within(ids: list[int], sets: list[np.ndarray], percent: int) -> tupl
     return np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.int64)
 
 
+def _hashed(doc_id: int) -> int:
+    return xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True))
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -347,7 +351,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     link with nothing.  Repeated rows link with their like; rows with one doc_id are one node.
 
     Only parts (some 0.4 numbers per word) and the sets of rows with a partner are shuffled.  Equal sets are reduced to one in the
-    task that makes them, before they are sent.  A family with more elements than fit one tree is cut into blocks by hash and joined
+    task that makes them, before they are sent, and the links between them are dealt by hash, apart from the trees.  A family with more elements than fit one tree is cut into blocks by hash and joined
     block against block, so no task holds more than two blocks.
     """
     spark = docs.sparkSession
@@ -359,6 +363,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     blocks = measured.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
     member = written(measured.join(blocks, "component").select("node", "component", "blocks"), "jaccard-members")
 
+    spread = 4 * partitions_of(spark)  # links of equal sets are ready; they travel in groups that grow in number, not in size
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, int] = {}
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -370,9 +376,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                 mark = xxhash.xxh3_128_digest(elements.tobytes())
                 like = met.setdefault(mark, doc_id)
                 if like != doc_id:
-                    rows.append((one, 0, 0, doc_id, like, None))
+                    rows.append((_hashed(doc_id) % spread, -1, -1, doc_id, like, None))
                     continue
-                block = xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True)) % count
+                block = _hashed(doc_id) % count
                 for other in range(count):
                     rows.append((one, min(block, other), max(block, other), doc_id, None, elements.tobytes()))
             cols = list(zip(*rows)) if rows else [()] * 6
@@ -383,12 +389,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sent = sent.mapInArrow(send, "family bigint, i int, j int, doc_id bigint, like bigint, elements binary")
 
     def grow(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        pairs = [(r["doc_id"], r["like"]) for r in rows if r["like"] is not None]
-        mine = [(r["doc_id"], np.frombuffer(r["elements"], np.uint64)) for r in rows if r["elements"] is not None]
-        a, b = similar_within([m[0] for m in mine], [m[1] for m in mine], percent)
-        a = np.concatenate([a, np.array([p[0] for p in pairs], dtype=np.int64)])
-        b = np.concatenate([b, np.array([p[1] for p in pairs], dtype=np.int64)])
+        if group.column("i")[0].as_py() < 0:
+            return pa.table({"a": group.column("doc_id"), "b": group.column("like")})
+        sets = [np.frombuffer(e, np.uint64) for e in group.column("elements").to_pylist()]
+        a, b = similar_within(group.column("doc_id").to_pylist(), sets, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = sent.groupBy("family", "i", "j").applyInArrow(grow, "a bigint, b bigint")
