@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SF
+from given import SF
 from settlespark.plans.registry import all_queries, all_sql
 
 QUERIES, SQL = all_queries(), all_sql()

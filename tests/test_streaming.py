@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import SF
+from given import SF
 from settlespark.operators import ingest, payments as pay
 from settlespark.plans import events
 from settlespark.session import new_path
