@@ -101,10 +101,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # Edges point downwards.  An edge whose lower end has something below moves there; most end in a least node already, and the many
         # edges of such a hub are told by a bitmap instead of a join on it.
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        flagged = _flagged(edges, "b", least, "a", FILTER_BITS)
+        flagged, maybe = _flagged(edges, "b", least, "a", FILTER_BITS)
         lower = least.select(F.col("a").alias("_u"), F.col("m").alias("_m"))
-        moved = flagged.where("_maybe").join(lower, F.col("b") == F.col("_u"), "left").select("a", F.coalesce("_m", "b").alias("b"))
-        large = moved.unionByName(flagged.where("not _maybe").select("a", "b")).distinct()
+        moved = flagged.where(maybe).join(lower, F.col("b") == F.col("_u"), "left").select("a", F.coalesce("_m", "b").alias("b"))
+        large = moved.unionByName(flagged.where(~F.col(maybe)).select("a", "b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -120,15 +120,37 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def _flagged(rows: DataFrame, key: str, members: DataFrame, member_key: str, bits: int) -> DataFrame:
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until no column of ``rows`` has it; Spark does not tell names apart by case."""
+    taken, found = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns_of(rows: DataFrame) -> list[Column]:
+    """All columns of ``rows``, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns]
+
+
+def _listed(keys: str | list[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else keys
+
+
+def _flagged(rows: DataFrame, key: str | list[str], members: DataFrame, member_key: str | list[str], bits: int) -> tuple[DataFrame, str]:
+    """The rows with one more column, and its name: whether the key may be among the members."""
+    maybe, slot, word, held = fresh(rows, "maybe", "slot", "word", "held")
+    place = lambda keys: F.pmod(F.xxhash64(*_listed(keys)), F.lit(bits))
     bitmap = (
-        members.select(slot(F.col(member_key)).alias("_s"))
-        .groupBy(F.expr("_s div 64").alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
+        members.select(place(member_key).alias("s"))
+        .groupBy(F.expr("s div 64").alias(word))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias(held))
     )
-    found = rows.withColumn("_slot", slot(F.col(key))).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(bitmap), "_word", "left")
-    return found.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 as int)) = 1"), F.lit(False))).drop("_slot", "_word", "_bits")
+    found = rows.withColumn(slot, place(key)).withColumn(word, F.expr(f"{slot} div 64")).join(F.broadcast(bitmap), word, "left")
+    return found.select(*columns_of(rows), F.coalesce(F.expr(f"getbit({held}, cast({slot} % 64 as int)) = 1"), F.lit(False)).alias(maybe)), maybe
 
 
 def maybe_in(rows: DataFrame, key: str, members: DataFrame, member_key: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -138,17 +160,32 @@ def maybe_in(rows: DataFrame, key: str, members: DataFrame, member_key: str, bit
     members.  That is the proven bound behind the broadcast.  It spares the shuffle of texts that an exact join would discard; where the
     members fill the bitmap it spares nothing and harms nothing.
     """
-    return _flagged(rows, key, members, member_key, bits).where("_maybe").drop("_maybe")
+    found, maybe = _flagged(rows, key, members, member_key, bits)
+    return found.where(maybe).drop(maybe)
 
 
-def joined_where_present(rows: DataFrame, key: str, facts: DataFrame, fact_key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A left join on the long ``key`` that shuffles only rows which may have a partner in ``facts`` (unique by ``fact_key``).
+def joined_where_present(
+    rows: DataFrame, key: str | list[str], facts: DataFrame, fact_key: str | list[str], name: str, bits: int = FILTER_BITS
+) -> DataFrame:
+    """A left join on ``key`` (one or more long columns) that shuffles only rows which may have a partner in ``facts`` (unique by ``fact_key``).
 
-    All columns of rows, then those of facts but its key; null where there is no partner.  Null keys have no partner.
+    All columns of rows, then ``name`` (take a fresh one), a struct of the columns of facts but its key; null where there is no partner.
+    Null keys have no partner.
     """
-    flagged = _flagged(rows, key, facts, fact_key, bits)
-    own, extra = rows.columns, [c for c in facts.columns if c != fact_key]
-    side = facts.withColumnRenamed(fact_key, "_fact_key")
-    some = flagged.where("_maybe").join(side, F.col(key) == F.col("_fact_key"), "left").select(*own, *extra)
-    none = flagged.where("not _maybe").select(*own, *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in extra])
+    flagged, maybe = _flagged(rows, key, facts, fact_key, bits)
+    keys, fact_keys = _listed(key), _listed(fact_key)
+    extra = [c for c in facts.columns if c not in fact_keys]
+    kind = ", ".join(f"{c}: {facts.schema[c].dataType.simpleString()}" for c in extra)
+    partner, *theirs = fresh(flagged, name, *[f"fact_{k}" for k in fact_keys])
+    side = facts.select(*[F.col(k).alias(t) for k, t in zip(fact_keys, theirs)], F.struct(*extra).alias(partner))
+    same = [F.col(k) == F.col(t) for k, t in zip(keys, theirs)]
+    some = flagged.where(maybe).join(side, same, "left").select(*columns_of(rows), F.col(partner).alias(name))
+    none = flagged.where(~F.col(maybe)).select(*columns_of(rows), F.lit(None).cast(f"struct<{kind}>").alias(name))
     return some.unionByName(none)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """The rows whose ``key`` is not among those of ``gone``, all columns unchanged; rows with a null key stay."""
+    (found,) = fresh(rows, "found")
+    facts = gone.select(F.col(gone_key).alias("gone_key")).distinct().select("gone_key", F.lit(True).alias("gone"))
+    return joined_where_present(rows, key, facts, "gone_key", found).where(f"{found} is null").select(*columns_of(rows))

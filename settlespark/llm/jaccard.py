@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from settlespark.llm.common import (
-    Forest, column_chunks, components, forest_edges, joined_where_present, maybe_in, partitions_of, text_of,
+    Forest, column_chunks, components, forest_edges, maybe_in, partitions_of, text_of, without,
 )
 from settlespark.session import written
 
@@ -403,5 +403,4 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller doc_id; all columns unchanged.  Rows with a null id stay."""
-    gone = join(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone_id"), F.lit(True).alias("_gone")).distinct()
-    return joined_where_present(docs, "doc_id", gone, "_gone_id").where("_gone is null").select(*docs.columns)
+    return without(docs, "doc_id", join(docs, n, percent).where("component_id < doc_id"), "doc_id")

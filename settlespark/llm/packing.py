@@ -43,8 +43,6 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         for at in range(0, len(words), 2000):
             part = words[at:at + 2000]
             # One text with single spaces: the offsets say which word an id belongs to.
@@ -65,10 +63,11 @@ class WordTokenizer:
         new = list({w for words in split for w in words if w not in known})
         if new:
             self._learn(new)
-            if any(w not in self.known for words in split for w in words):  # emptied meanwhile
-                self._learn(list({w for words in split for w in words if w not in self.known}))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = known.__getitem__
+        found = [b"".join(map(get, words)) for words in split]
+        if len(known) > REMEMBERED:  # only between the texts at hand, all of whose words have just been looked up
+            known.clear()
+        return found
 
 
 @functools.cache

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from settlespark.llm.common import joined_where_present, text_of
+from settlespark.llm.common import text_of, without
 from settlespark.session import written
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -177,5 +177,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Rows with one doc_id share the verdict: they go if one of them is rejected.  Rows with a null doc_id stay.
     """
-    gone = judge(docs).where(~F.col("kept")).select("doc_id").distinct().select(F.col("doc_id").alias("_gone_id"), F.lit(True).alias("_gone"))
-    return joined_where_present(docs, "doc_id", gone, "_gone_id").where("_gone is null").select(*docs.columns)
+    return without(docs, "doc_id", judge(docs).where(~F.col("kept")), "doc_id")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from settlespark.llm import jaccard, line_dedup, packing, quality, secrets, sharding, suffix_dedup, tokens, toxicity, vectors
+from settlespark.llm import jaccard, line_dedup, packing, quality, secrets, sharding, substring_dedup, suffix_dedup, tokens, toxicity, vectors
 from settlespark.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,27 @@ FROM (SELECT vec_id, min(spot) AS component_id FROM reach GROUP BY vec_id) m LEF
 @query
 def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_suffix_automata"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 48))) AS i FROM w),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s FROM starts),
+firsts AS (SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s),
+later AS (SELECT v.doc_id, v.i, lag(v.i) OVER (PARTITION BY v.doc_id ORDER BY v.i) AS before FROM windows v JOIN firsts f ON f.s = v.s WHERE f.first_doc < v.doc_id),
+marked AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM marked GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 1) AS from_ FROM runs),
+told AS (
+  SELECT w.doc_id, any_value(w.ws) AS ws, coalesce(sum(g.z - g.a), 0) AS n_removed, coalesce(max(g.z), 1) AS last,
+    coalesce(string_agg(CASE WHEN g.a > g.from_ THEN array_to_string(w.ws[g.from_:g.a - 1], ' ') || ' ' ELSE '' END, '' ORDER BY g.run), '') AS head
+  FROM w LEFT JOIN gaps g ON g.doc_id = w.doc_id GROUP BY w.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(rtrim(head || array_to_string(ws[last:], ' '), ' ')) AS kept_sha256 FROM told"""
+
+
+@query
+def op13_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -40,7 +40,7 @@ def test_components_of_paths_stars_and_random_graphs(spark):
 def test_join_where_present(spark):
     rows = spark.createDataFrame([(i % 50 if i % 9 else None, i) for i in range(200)], "id long, n long")
     facts = spark.createDataFrame([(i, str(i)) for i in range(0, 60, 7)], "k long, fact string")
-    found = sorted((r.n, r.id, r.fact) for r in joined_where_present(rows, "id", facts, "k").collect())
+    found = sorted((r.n, r.id, r.found.fact if r.found else None) for r in joined_where_present(rows, "id", facts, "k", "found").collect())
     assert found == sorted((i, v, str(v) if v is not None and v % 7 == 0 else None) for i in range(200) for v in [i % 50 if i % 9 else None])
 
 
