@@ -155,7 +155,8 @@ def _table(t: pa.Table, *columns: str) -> tuple:
     x = np.asarray(t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(len(ids), -1)
     order = np.lexsort((*[x[:, c] for c in range(x.shape[1] - 1, -1, -1)], labels, ids)) if len(ids) else np.zeros(0, int)
     order = order[np.append(True, ids[order][1:] != ids[order][:-1])] if len(ids) else order
-    return ids[order], labels[order], x[order], *[[t.column(c).to_pylist()[i] for i in order.tolist()] for c in columns]
+    others = [t.column(c).to_pylist() for c in columns]
+    return ids[order], labels[order], x[order], *[[c[i] for i in order.tolist()] for c in others]
 
 
 _FOUND = ["anchor_id", "positive_id", "positive_score", "vec_id", "score"]
