@@ -29,45 +29,57 @@ SETTLEMENT_KEYS = ["providerSettlementId", "settlementDate", "currency", "grossA
 LINE_KEYS = ["providerTransactionId", "grossAmountMinor", "netAmountMinor"]
 
 
-def _unknown_field(body: str) -> str:
+def _fields(body: str = "body") -> Column:
+    """The body's fields with their values as text.  With the typed parse this is all that is made of the whole text; objects inside are
+    looked at as the short texts they are."""
+    return F.from_json(F.col(body), "map<string, string>")
+
+
+def _unknown_field(fields: str) -> str:
     """Whether the body or any object in it has a field that no event has."""
-    def strange(text: str, keys: list[str]) -> str:
-        names = ", ".join(f"'{k}'" for k in keys)
-        return f"coalesce(size(array_except(json_object_keys({text}), array({names}))) > 0, false)"
+    def strange(names: str, keys: list[str]) -> str:
+        known = ", ".join(f"'{k}'" for k in keys)
+        return f"coalesce(size(array_except({names}, array({known}))) > 0, false)"
 
-    inner = [strange(f"get_json_object({body}, '$.{field}')", MONEY_KEYS) for field in ("gross", "fee", "net")]
-    lines = f"from_json(get_json_object({body}, '$.settlement.lines'), 'array<string>')"
+    settlement = f"from_json({fields}['settlement'], 'map<string, string>')"
+    lines = f"from_json({settlement}['lines'], 'array<string>')"
+    objects = [(strange(f"json_object_keys({fields}['{field}'])", MONEY_KEYS), field) for field in ("gross", "fee", "net")]
     return " or ".join([
-        strange(body, PAYLOAD_KEYS), *inner, strange(f"get_json_object({body}, '$.settlement')", SETTLEMENT_KEYS),
-        f"coalesce(exists({lines}, line -> {strange('line', LINE_KEYS)}), false)"])
+        strange(f"map_keys({fields})", PAYLOAD_KEYS), *[f"({fields}['{field}'] is not null and {test})" for test, field in objects],
+        f"({fields}['settlement'] is not null and ({strange(f'map_keys({settlement})', SETTLEMENT_KEYS)} or "
+        f"coalesce(exists({lines}, line -> {strange('json_object_keys(line)', LINE_KEYS)}), false)))"])
 
 
-def body_problem(body: str = "body", parsed: str = "p") -> Column:
+def body_problem(parsed: str = "p", fields: str = "fields") -> Column:
     """Why a body is not a provider event, or null."""
     return F.expr(f"""case when {parsed} is null or {parsed}._corrupt is not null then 'NOT_JSON'
-        when {_unknown_field(body)} then 'UNKNOWN_FIELD'
+        when {_unknown_field(fields)} then 'UNKNOWN_FIELD'
         when {parsed}.type is null then 'MISSING_TYPE' when {parsed}.occurredAt is null then 'MISSING_OCCURRED_AT'
         when try_to_timestamp({parsed}.occurredAt) is null then 'BAD_OCCURRED_AT' end""")
 
 
-def _occurred_at(parsed: str = "p") -> Column:
+def occurred_at(parsed: str = "p") -> Column:
     """The instant in UTC, from the whole text with its offset and fraction."""
     local = f"cast(try_to_timestamp({parsed}.occurredAt) as timestamp_ntz)"
     return F.expr(f"convert_timezone(current_timezone(), 'UTC', {local})").alias("occurred_at")
 
 
-def _with_parsed(deliveries: DataFrame) -> DataFrame:
-    return deliveries if "p" in deliveries.columns else once(deliveries, "p", parsed_body())
+def _read(deliveries: DataFrame) -> DataFrame:
+    """``r``: the body read as ``p`` (typed) and ``problem``, once per row."""
+    if "r" in deliveries.columns:
+        return deliveries
+    both = once(deliveries, "both", F.struct(parsed_body().alias("p"), _fields().alias("fields")))
+    return once(both, "r", F.struct(F.col("both.p").alias("p"), body_problem("both.p", "both.fields").alias("problem"))).drop("both")
 
 
 def parse_provider_events(deliveries: DataFrame) -> DataFrame:
     """Typed columns beside ``reject_reason``; good events are the rows where it is null."""
-    kept = [c for c in deliveries.columns if c != "p"]
-    return once(_with_parsed(deliveries), "reject_reason", body_problem()).select(
-        *kept, "reject_reason", F.col("p.type").alias("event_type"), _occurred_at(),
-        F.col("p.providerTransactionId").alias("provider_transaction_id"), F.col("p.merchantReference").alias("merchant_reference"),
-        F.col("p.gross.amountMinor").alias("gross_minor"), F.col("p.fee.amountMinor").alias("fee_minor"), F.col("p.net.amountMinor").alias("net_minor"),
-        F.col("p.gross.currency").alias("currency"), F.col("p.status").alias("status"), F.col("p.settlement").alias("settlement"))
+    kept = [c for c in deliveries.columns if c != "r"]
+    return _read(deliveries).select(
+        *kept, F.col("r.problem").alias("reject_reason"), F.col("r.p.type").alias("event_type"), occurred_at("r.p"),
+        F.col("r.p.providerTransactionId").alias("provider_transaction_id"), F.col("r.p.merchantReference").alias("merchant_reference"),
+        F.col("r.p.gross.amountMinor").alias("gross_minor"), F.col("r.p.fee.amountMinor").alias("fee_minor"), F.col("r.p.net.amountMinor").alias("net_minor"),
+        F.col("r.p.gross.currency").alias("currency"), F.col("r.p.status").alias("status"), F.col("r.p.settlement").alias("settlement"))
 
 
 def expected_signature(secret: str) -> Column:
@@ -96,22 +108,22 @@ HTTP_STATUS = """case outcome when 'ACCEPTED' then 202 when 'DUPLICATE' then 200
 
 
 def checked_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
-    """Row-local part of the classification, also what the stream applies: the parsed body ``p``, the first
+    """Row-local part of the classification, also what the stream applies: the body as read ``r``, the first
     refusal that applies (null for a genuine event) and whether the signature was found good."""
     def blank(name: str) -> Column:
         return F.trim(F.coalesce(name, F.lit(""))) == ""
 
     facts = F.struct(
         (F.col("body_bytes") > vocab.MAX_BODY_BYTES).alias("large"), (blank("event_id") | blank("timestamp") | blank("signature")).alias("blank"),
-        is_fresh().alias("fresh"), signature_matches(secret).alias("signed"), body_problem().alias("problem"))
-    return once(once(deliveries, "p", parsed_body()), "c", facts).withColumn("rejection", F.expr("""case
+        is_fresh().alias("fresh"), signature_matches(secret).alias("signed"))
+    return once(_read(deliveries), "c", facts).withColumn("rejection", F.expr("""case
         when c.large then 'TOO_LARGE' when c.blank then 'REJECTED_MALFORMED' when not c.fresh then 'REJECTED_TIMESTAMP'
-        when not c.signed then 'REJECTED_SIGNATURE' when c.problem is not null then 'REJECTED_MALFORMED' end""")).withColumn(
+        when not c.signed then 'REJECTED_SIGNATURE' when r.problem is not null then 'REJECTED_MALFORMED' end""")).withColumn(
         "signature_valid", F.expr("not coalesce(c.large, false) and not c.blank and c.fresh and c.signed")).drop("c")
 
 
 def classify_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
-    marked = mark_first(checked_deliveries(deliveries, secret).drop("p"), EVENT_KEY, ["received_at", "id"], "id", "first", F.col("rejection").isNull())
+    marked = mark_first(checked_deliveries(deliveries, secret).drop("r"), EVENT_KEY, ["received_at", "id"], "id", "first", F.col("rejection").isNull())
     outcome = F.expr("case when rejection is not null then rejection when first then 'ACCEPTED' else 'DUPLICATE' end")
     return marked.withColumn("outcome", outcome).withColumn("http_status", F.expr(HTTP_STATUS)).drop("first", "rejection")
 

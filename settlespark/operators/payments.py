@@ -139,6 +139,13 @@ def provider_status_partials(events: DataFrame) -> DataFrame:
         F.min_by("occurred_at", "seq").alias("captured_at"), F.min("seq").alias("first_seq"))
 
 
+def combine_provider_status(partials: DataFrame) -> DataFrame:
+    """Several partial results as one of the same columns."""
+    return partials.groupBy(*KEY).agg(
+        F.max_by("latest", "last_seq").alias("latest"), F.max("last_seq").alias("last_seq"), F.max("rank").alias("rank"),
+        F.min_by("captured_at", "first_seq").alias("captured_at"), F.min("first_seq").alias("first_seq"))
+
+
 def merge_provider_status(partials: DataFrame) -> DataFrame:
     per = partials.groupBy(*KEY).agg(
         F.max_by("latest", "last_seq").alias("latest"), F.max("rank").alias("rank"), F.min_by("captured_at", "first_seq").alias("captured_at"))

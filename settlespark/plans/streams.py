@@ -15,21 +15,21 @@ def deliveries(s: Scenario):
     return jobs.delivery_stream(jobs.streaming_session(s.spark), f"{s.sf_dir}/events*.parquet")
 
 
-@query("stream_dedupe_events", "SELECT provider, event_id, min(body) AS body FROM classified_deliveries WHERE rejection IS NULL GROUP BY 1, 2")
+@query("stream_dedupe_events", """SELECT provider, event_id, arg_min(id, (received_at, id)) AS delivery_id, min(received_at) AS received_at, arg_min(body, (received_at, id)) AS body
+FROM classified_deliveries WHERE rejection IS NULL GROUP BY 1, 2""")
 def _(s):
-    return jobs.run_append(jobs.stream_dedupe_events(deliveries(s), SECRET), "deduped")
+    return jobs.run_dedupe_events(deliveries(s), SECRET)
 
 
-@query("stream_classify_deliveries", """SELECT id, provider, event_id, received_at, coalesce(rejection, 'GENUINE') AS verdict,
-  rejection IS NULL OR (rejection = 'REJECTED_MALFORMED' AND event_id IS NOT NULL) AS signature_valid FROM checked_deliveries""")
+@query("stream_classify_deliveries", """SELECT id, provider, event_id, received_at, outcome, CASE outcome WHEN 'ACCEPTED' THEN 202 WHEN 'DUPLICATE' THEN 200 WHEN 'TOO_LARGE' THEN 413 WHEN 'REJECTED_MALFORMED' THEN 400 ELSE 401 END AS http_status,
+  outcome IN ('ACCEPTED', 'DUPLICATE') OR (outcome = 'REJECTED_MALFORMED' AND event_id IS NOT NULL) AS signature_valid FROM classified_deliveries""")
 def _(s):
-    return jobs.run_append(jobs.stream_classify_deliveries(deliveries(s), SECRET), "classified")
+    return jobs.run_classify_deliveries(deliveries(s), SECRET)
 
 
-# Which copy of a redelivered event counts is the stream's to choose, so only what every copy agrees on is compared.
-@query("stream_provider_status", "SELECT provider, provider_transaction_id, provider_status FROM status_upserts")
+@query("stream_provider_status", "SELECT * FROM status_upserts")
 def _(s):
-    return jobs.run_provider_status(deliveries(s), SECRET).select("provider", "provider_transaction_id", "provider_status")
+    return jobs.run_provider_status(deliveries(s), SECRET)
 
 
 CTE["stream_marks"] = """
@@ -60,7 +60,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stream_lines o JOIN event_payments y ON y.provid
 FROM stream_marks m JOIN event_payments y ON y.provider = m.provider AND y.provider_transaction_id = m.ptx LEFT JOIN stream_settled s ON s.provider = m.provider AND s.ptx = m.ptx""")
 def _(s):
     live = deliveries(s)
-    return jobs.run_payment_state(live, SECRET, Scenario(live.sparkSession, s.sf_dir).event_payments)
+    return jobs.run_payment_state(live, SECRET, Scenario(live.sparkSession, s.sf_dir).event_payments)[0]
 
 
 @query("stream_balances", "SELECT account_id, currency, balance_minor, entry_count FROM recomputed")
