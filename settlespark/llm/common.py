@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from settlespark.session import written
+from settlespark.session import remove, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternates the large-star and small-star steps: every step points neighbours at the least node of a neighbourhood, which keeps
     the components and ends, after a number of steps that grows with the logarithm of the longest path, in one star per component.
     Only minima are grouped, combined before the shuffle; no neighbourhood is gathered.  Each step is written to the shared
-    folder, so a lost executor repeats one step.
+    folder, so a lost executor repeats one step; the step before it is then removed.
     """
     edges = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label
@@ -112,7 +112,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before, edges = edges, written(small, label)
         # A star forest is a fixed point: the same edges come out again.
         summary = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
-        if before.agg(*summary).first() == edges.agg(*summary).first():
+        unchanged = before.agg(*summary).first() == edges.agg(*summary).first()
+        remove(before)
+        if unchanged:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
