@@ -8,7 +8,8 @@ from settlespark import vocab
 from settlespark.functions.crypto import hmac_sha256, sha256_text
 from settlespark.functions.keyed import first_per_key, mark_first
 from settlespark.functions.once import once
-from settlespark.session import written
+from settlespark.functions.ordered import running_sums
+from settlespark.session import remove, written
 
 _MONEY = "struct<amountMinor bigint, currency string>"
 _SETTLEMENT = ("struct<providerSettlementId string, settlementDate string, currency string, grossAmountMinor bigint, feeAmountMinor bigint, "
@@ -209,30 +210,59 @@ def map_event_target_state(events: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ command log
 
 
+KEY_OF_COMMAND = ["endpoint", "idem_key"]
+
+
+def _owners(successors: DataFrame) -> DataFrame:
+    """(endpoint, idem_key, nth) of the owners: the first command of each key and whatever is reached from it over ``next``.
+
+    Pointer doubling: each round follows every pointer twice as far and carries the mark along it, so 500 takeovers of one key take
+    nine rounds.  A round is one self-join on (key, number) and one combinable aggregate, written once.
+    """
+    at = [*KEY_OF_COMMAND, "nth"]
+    # Only a first command or somebody's successor can own a key.
+    named = successors.select(*KEY_OF_COMMAND, F.col("next").alias("nth")).filter("nth is not null").distinct()
+    first = successors.filter("nth = 1")
+    marked = written(first.unionByName(successors.filter("nth > 1").join(named, at, "left_semi")).withColumn("owns", F.expr("nth = 1")), "command-chain")
+    while not marked.filter("next is not null").isEmpty():
+        far = marked.select(*KEY_OF_COMMAND, F.col("nth").alias("next"), F.col("next").alias("beyond"))
+        ahead = marked.filter("next is not null").join(far, [*KEY_OF_COMMAND, "next"]).select(*at, F.col("beyond").alias("next"), "owns")
+        reached = marked.filter("owns and next is not null").select(*KEY_OF_COMMAND, F.col("next").alias("nth"), F.lit(None).cast("bigint").alias("next"), "owns")
+        ended = marked.filter("next is null")
+        step = ahead.unionByName(reached).unionByName(ended).groupBy(*at).agg(F.max("next").alias("next"), F.max("owns").alias("owns"))
+        before, marked = marked, written(step, "command-chain")
+        remove(before)
+    return marked.filter("owns").select(*at)
+
+
 def classify_commands(log: DataFrame) -> DataFrame:
     """FRESH, EXPIRED_TAKEOVER, CONFLICT, IN_PROGRESS or REPLAY for each command on (endpoint, idem_key).
 
-    Whoever owns a key owns it until its record expires; the first command at or after that takes over.  Owners are
-    found round by round, each round one combinable minimum over the commands past the present owner's expiry,
-    so there are as many rounds as successive takeovers of one key and no key is gathered in a task.
+    Whoever owns a key owns it until its record expires; the first command at or after that takes over (the next one, if a record expires
+    before it begins).  One sorted pass over the commands and their expiries numbers the commands of each key and tells for each the
+    number of its successor; the owners are then found by pointer doubling, and every command belongs to the last owner up to it.  No key
+    is gathered in a task, and the number of rounds grows with the logarithm of the takeovers.
     """
-    key = ["endpoint", "idem_key"]
-    seq = F.struct("ts", "id")
-    owner = F.min_by(F.struct("id", "fingerprint", "completed", "ts", "expires_at"), seq).alias("o")
-    log = log.select("id", *key, "fingerprint", "ts", "completed", "expires_at")
-    current = log.groupBy(*key).agg(owner)
-    parts, rest, label = [], log, "FRESH"
-    while True:
-        owned = written(rest.join(current, key).withColumn("owner_kind", F.lit(label)), "commands")
-        parts.append(owned.filter("ts < o.expires_at"))
-        rest = owned.filter("ts >= o.expires_at").select(*log.columns)
-        if rest.isEmpty():
-            break
-        current, label = rest.groupBy(*key).agg(owner), "EXPIRED_TAKEOVER"
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("id", *key, "ts", F.col("o.id").alias("owner_id"), F.expr("""case when id = o.id then owner_kind
+    log = log.select("id", *KEY_OF_COMMAND, "fingerprint", "ts", "completed", "expires_at")
+    # At one instant expiries come first: a command arriving then takes over.
+    arrivals = log.withColumn("at", F.col("ts")).withColumn("arrives", F.lit(1))
+    expiries = log.filter("expires_at is not null").withColumn("at", F.col("expires_at")).withColumn("arrives", F.lit(0))
+    timed = running_sums(
+        arrivals.unionByName(expiries), KEY_OF_COMMAND, ["at", "arrives", "id"], {"count": F.col("arrives").cast("bigint")})
+    timed = written(timed, "command-times")
+    numbered = timed.filter("arrives = 1").withColumnRenamed("count", "nth").drop("arrives", "at")
+    sizes = timed.groupBy(*KEY_OF_COMMAND).agg(F.sum("arrives").alias("commands"))
+    expiry = timed.filter("arrives = 0").select("id", (F.col("count") + 1).alias("after"))
+    successors = numbered.select("id", *KEY_OF_COMMAND, "nth").join(expiry, "id", "left").join(sizes, KEY_OF_COMMAND)
+    successors = successors.withColumn("next", F.greatest("after", F.expr("case when after is not null then nth + 1 end")))
+    owners = _owners(successors.select(*KEY_OF_COMMAND, "nth", F.expr("case when next <= commands then next end").alias("next")))
+
+    # The number of owners up to a command names its owner.
+    flagged = numbered.join(owners.withColumn("owns", F.lit(1)), [*KEY_OF_COMMAND, "nth"], "left")
+    placed = written(running_sums(flagged, KEY_OF_COMMAND, ["nth"], {"owner_no": F.coalesce("owns", F.lit(0)).cast("bigint")}), "commands")
+    owner = placed.filter("owns = 1").select(*KEY_OF_COMMAND, "owner_no", F.struct("id", "fingerprint", "completed").alias("o"))
+    return placed.join(owner, [*KEY_OF_COMMAND, "owner_no"]).select("id", *KEY_OF_COMMAND, "ts", F.col("o.id").alias("owner_id"), F.expr("""case
+        when id = o.id then case when nth = 1 then 'FRESH' else 'EXPIRED_TAKEOVER' end
         when fingerprint <> o.fingerprint then 'CONFLICT' when not o.completed then 'IN_PROGRESS' else 'REPLAY' end""").alias("decision"))
 
 

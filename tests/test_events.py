@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from settlespark.session import written
 from settlespark.operators import ingest, payments as pay
 from settlespark.vocab import ALLOWED_TRANSITIONS, PAYMENT_STATES
 
@@ -100,6 +101,23 @@ def test_commands_match_a_plain_loop(spark):
     assert {r.id: r.decision for r in ingest.classify_commands(log).collect()} == expected
 
 
+def test_many_takeovers_take_few_rounds(spark, monkeypatch):
+    """500 takeovers of one key, 130 of another, records that expire at once or never."""
+    rows = [(f"a{i:04d}", "POST /x", "long", "f", T0 + dt.timedelta(hours=i), True, T0 + dt.timedelta(hours=i + 1)) for i in range(501)]
+    rows += [(f"b{i:04d}", "POST /x", "half", f"f{i % 2}", T0 + dt.timedelta(hours=i), i % 3 > 0, T0 + dt.timedelta(hours=i + 2)) for i in range(262)]
+    rows += [("c0", "POST /x", "odd", "f", T0, True, T0), ("c1", "POST /x", "odd", "f", T0, True, T0 - dt.timedelta(hours=1)), ("c2", "POST /x", "odd", "f", T0, True, None),
+             ("c3", "POST /x", "odd", "f", T0 + dt.timedelta(days=900), True, T0)]
+    stored = []
+    monkeypatch.setattr(ingest, "written", lambda df, label: stored.append(label) or written(df, label))
+    log = spark.createDataFrame(rows, "id string, endpoint string, idem_key string, fingerprint string, ts timestamp_ntz, completed boolean, expires_at timestamp_ntz")
+    got = {r.id: (r.owner_id, r.decision) for r in ingest.classify_commands(log).collect()}
+    assert all(got[f"a{i:04d}"] == (f"a{i:04d}", "EXPIRED_TAKEOVER" if i else "FRESH") for i in range(501))
+    assert all(got[f"b{i:04d}"][0] == f"b{i - i % 2:04d}" for i in range(262))
+    assert {k: got[k] for k in ("c0", "c1", "c2", "c3")} == {
+        "c0": ("c0", "FRESH"), "c1": ("c1", "EXPIRED_TAKEOVER"), "c2": ("c2", "EXPIRED_TAKEOVER"), "c3": ("c2", "REPLAY")}
+    assert stored.count("command-chain") <= 11 and len(stored) <= 13
+
+
 def test_takeover_and_purge_differ_at_the_instant(spark):
     log = spark.createDataFrame(
         [("a", "e", "k", "f", T0, True, T0 + dt.timedelta(days=1)), ("b", "e", "k", "g", T0 + dt.timedelta(days=1), True, T0 + dt.timedelta(days=2))],
