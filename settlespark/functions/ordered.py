@@ -19,7 +19,8 @@ from settlespark.session import written
 SLICE = "_slice"
 
 
-def _sliced(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
+    """The rows with the number of the slice they lie in, written; slices follow one another by (keys, order)."""
     cut = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
     return written(cut, label)
 
@@ -29,7 +30,7 @@ def _slice_window(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
-def _stitch(sliced: DataFrame, keys: list[str], carried: DataFrame, columns: list[str]) -> DataFrame:
+def _stitch(cut: DataFrame, keys: list[str], carried: DataFrame, columns: list[str]) -> DataFrame:
     """Attach what the earlier slices of the same key carry over (only keys cut by a boundary)."""
     on = keys + [SLICE]
     side = carried.filter("_nth > 1").select(*[F.col(k).alias(f"_k_{k}") for k in on], *columns)
@@ -37,7 +38,7 @@ def _stitch(sliced: DataFrame, keys: list[str], carried: DataFrame, columns: lis
     for k in on:
         term = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         same = term if same is None else same & term
-    return sliced.join(F.broadcast(side), same, "left").drop(*[f"_k_{k}" for k in on])
+    return cut.join(F.broadcast(side), same, "left").drop(*[f"_k_{k}" for k in on])
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -47,8 +48,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     """
     for name, col in sums.items():
         df = df.withColumn(f"_v_{name}", col)
-    sliced = _sliced(df, keys, order, "running")
-    totals = sliced.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    cut = sliced(df, keys, order, "running")
+    totals = cut.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     w = _slice_window(keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
@@ -56,7 +57,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
     )
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = sliced
+    out = cut
     for n in sums:
         out = out.withColumn(f"_l_{n}", F.sum(f"_v_{n}").over(local))
     out = _stitch(out, keys, carried, [f"_c_{n}" for n in sums])
@@ -73,15 +74,15 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) ->
 
 def previous_values(df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str]) -> DataFrame:
     """For each ``name: column`` add the column's value on the row before, plus ``is_first``."""
-    sliced = _sliced(df, keys, order, "previous")
+    cut = sliced(df, keys, order, "previous")
     carry = F.max_by(F.struct(*previous.values()), F.struct(*order)).alias("_last")
     w = _slice_window(keys)
     carried = (
-        sliced.groupBy(*keys, SLICE).agg(carry)
+        cut.groupBy(*keys, SLICE).agg(carry)
         .select(*keys, SLICE, F.row_number().over(w).alias("_nth"), F.lag("_last").over(w).alias("_before"))
     )
     local = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    out = sliced.withColumn("_at", F.row_number().over(local))
+    out = cut.withColumn("_at", F.row_number().over(local))
     for name, column in previous.items():
         out = out.withColumn(f"_p_{name}", F.lag(column).over(local))
     out = _stitch(out, keys, carried, ["_before"])

@@ -197,6 +197,16 @@ def ingest_settlements(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return first_per_key(incoming, key, ["received_at", "id"]).join(stored.select(*key), key, "left_anti")
 
 
+def ingest_settlement_lines(ingested: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of the copies that ``ingest_settlements`` chose, one row per (record, line_no), with the header's key beside them.
+
+    ``lines``: settlement_record_id (the id of the incoming copy), line_no and the line's columns.  Lines of copies that were not
+    ingested, and of settlements stored before, are left out, so header and lines are always of one and the same copy.
+    """
+    chosen = ingested.select(F.col("id").alias("settlement_record_id"), "provider", "provider_settlement_id")
+    return lines.join(chosen, "settlement_record_id")
+
+
 # ------------------------------------------------------------------ event effects
 
 

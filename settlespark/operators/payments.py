@@ -76,13 +76,10 @@ def _reached(start: str = "state") -> dict[str, Column]:
     }
 
 
-def fold_payment_events(events: DataFrame, payments: DataFrame) -> DataFrame:
-    """Replay each payment's events in arrival order; one row per event with its effect and the state it met.
+def _met(events: DataFrame, payments: DataFrame) -> DataFrame:
+    """Every event with the state of its payment when it arrives (``met``), the decision and its effect then, and the payment's course.
 
-    ``events``: event_id, payment_id, target_state, received_at, delivery_id.  An event whose transition is not
-    legal yet is retried after every change of state.  The replay needs only the first arrival of each kind
-    per payment, so it is one combinable aggregate and a join back; a payment with any number of events
-    never sits in one task.
+    ``events``: event_id, payment_id, target_state, received_at, delivery_id.
     """
     seq = F.struct(F.col("received_at").alias("t"), F.col("delivery_id").alias("id")).alias("seq")
     ordered = events.select("event_id", "payment_id", "target_state", seq)
@@ -98,7 +95,23 @@ def fold_payment_events(events: DataFrame, payments: DataFrame) -> DataFrame:
         when state = 'AUTHORIZED' or (a is not null and a < seq) then 'AUTHORIZED' else 'CREATED' end"""))
     decisions = event_decision(events.sparkSession).select(
         F.col("current_state").alias("met"), "target_state", "decision", "effect")
-    df = df.join(F.broadcast(decisions), ["met", "target_state"])
+    return df.join(F.broadcast(decisions), ["met", "target_state"])
+
+
+def event_decisions(events: DataFrame, payments: DataFrame) -> DataFrame:
+    """One row per event: the state it met at its arrival, the decision there and its effect (see ``_met``)."""
+    return _met(events, payments).select("event_id", "target_state", F.col("met").alias("current_state"), "decision", "effect")
+
+
+def fold_payment_events(events: DataFrame, payments: DataFrame) -> DataFrame:
+    """Replay each payment's events in arrival order; one row per event with its effect and the state it met.
+
+    An event whose transition is not
+    legal yet is retried after every change of state.  The replay needs only the first arrival of each kind
+    per payment, so it is one combinable aggregate and a join back; a payment with any number of events
+    never sits in one task.
+    """
+    df = _met(events, payments)
     # A retried refund applies at the capture if it was the first; other retried events turn into no effect once
     # the payment is refunded, and fail for good otherwise.
     final = F.expr("""case when effect <> 'RETRY' then effect

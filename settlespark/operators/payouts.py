@@ -6,10 +6,9 @@ so a merchant with any number of payments is many rows and never one array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from settlespark.functions.ordered import row_numbers, running_sums
-from settlespark.session import written
+from settlespark.functions.ordered import SLICE, row_numbers, sliced
 from settlespark.vocab import dimension
 
 
@@ -53,51 +52,79 @@ def build_payouts(checks: DataFrame, lines: DataFrame, payments: DataFrame) -> D
     return row_numbers(rows, ["payout_id"], ["payment_id"], "line_no")
 
 
+def _slice_facts(asks: DataFrame, top: int) -> DataFrame:
+    """Per (currency, slice) and power j what decides a whole slice while 2^j to 2^(j+1) is left.
+
+    ``below_j``: the sum of the requests under 2^j, all of which fit then.  ``need_j``: the least that must be left at the start of the slice
+    for one of the requests from 2^j on to fit, which is its own amount and the smaller ones before it.
+    """
+    order = Window.partitionBy("currency", SLICE).orderBy("payout_id").rowsBetween(Window.unboundedPreceding, -1)
+    small = [F.expr(f"case when ask < {2**j} then ask else 0 end") for j in range(top)]
+    rows = asks.filter(F.col("ask") < 2**top).withColumn("power", F.expr("length(bin(ask)) - 1"))
+    before = F.coalesce(F.element_at(F.array(*[F.sum(x).over(order) for x in small]), F.col("power") + 1), F.lit(0))
+    return rows.withColumn("need", before + F.col("ask")).groupBy("currency", SLICE).agg(
+        *[F.sum(x).alias(f"below_{j}") for j, x in enumerate(small)],
+        *[F.min(F.when((F.col("power") == j) & (F.col("ask") > 0), F.col("need"))).alias(f"need_{j}") for j in range(top)])
+
+
+def _level_end(asks: DataFrame, currency: str, at: int, decided: str, left: int, level: int):
+    """In one slice, from ``decided`` on: the request after which less than ``level`` is left (none if there is none), what is left then, and the
+    sum of all requests under the level."""
+    order = Window.partitionBy("currency").orderBy("payout_id").rowsBetween(Window.unboundedPreceding, 0)
+    here = asks.filter((F.col(SLICE) == at) & (F.col("currency") == currency) & (F.col("payout_id") > decided))
+    here = here.withColumn("small", F.expr(f"case when ask < {level} then ask else 0 end")).withColumn("run", F.sum("small").over(order))
+    after = F.expr(f"{left} - run - case when ask < {level} then 0 else ask end")
+    here = here.withColumn("after", after).agg(
+        F.min_by(F.struct("payout_id", "after"), F.when(F.expr(f"after >= 0 and after < {level}"), F.col("payout_id"))).alias("end"), F.sum("small").alias("total"))
+    return here.first()
+
+
 def payout_cash_check(checks: DataFrame, balances: DataFrame) -> DataFrame:
     """Accepted requests take cash of their currency in payout order; one asking for more than is left is
     refused and takes nothing.
 
-    While at least 2^j is left, every request below 2^j fits, and the first larger one that fits leaves less
-    than 2^j.  So one pass of running sums, one per power of two, and one aggregate per power settle the whole
-    sequence exactly.  What reaches the driver is one row per currency of the fixed vocabulary.
+    While at least 2^j is left, every request below 2^j fits, and the first larger one that fits leaves less than 2^j.  So a slice of the
+    sequence is known by two numbers per power (``_slice_facts``), and the slices follow one another by those numbers alone; only the
+    slice in which a power is used up is looked into, and there are no more of those than powers.  All requests are read three times: to
+    slice them, for the facts of the slices, and for the verdicts.  What reaches the driver is one row per slice and currency.
     """
     asks = checks.filter("verdict = 'ACCEPTED'").select("payout_id", "currency", F.col("total_net_minor").alias("ask"))
     cash = balances.filter("account_id = 'acct_platform_cash'").select("currency", "balance_minor").collect()
     left = {r.currency: max(r.balance_minor, 0) for r in cash}
     top = max([v.bit_length() for v in left.values()], default=0)
-    small = {f"b{j}": F.expr(f"case when ask < {2**j} then ask else 0 end") for j in range(top)}
-    run = running_sums(asks, ["currency"], ["payout_id"], small) if small else asks
-    run = written(run.select("payout_id", "currency", "ask", F.array(*small).alias("sums")), "payout_asks")
+    asks = sliced(asks, ["currency"], ["payout_id"], "payout-asks")
+    facts: dict[str, list] = {}
+    if top:
+        for r in _slice_facts(asks, top).collect():
+            facts.setdefault(r.currency, []).append(r)
 
-    decided = dict.fromkeys(left, "")
-    base = {c: [0] * top for c in left}
     spans = []
-    active = [c for c in left if left[c] > 0]
-    while active:
-        # Each currency stands in the class of its own highest power; every round lowers that power.
-        level = {c: left[c].bit_length() - 1 for c in active}
-        state = dimension(
-            run.sparkSession, [(c, left[c], decided[c], base[c][level[c]], level[c], 2 ** level[c]) for c in active],
-            "currency, left, decided, base, class, level")
-        here = run.join(F.broadcast(state), "currency").filter("payout_id > decided").withColumn(
-            "after", F.expr("left - (sums[class] - base - case when ask < level then ask else 0 end) - ask"))
-        ends = {
-            r.currency: r.end
-            for r in here.filter("after >= 0 and after < level").groupBy("currency")
-            .agg(F.min_by(F.struct("payout_id", "after", "sums"), "payout_id").alias("end")).collect()
-        }
-        for c in active:
-            end = ends.get(c)
-            spans.append((c, decided[c], end.payout_id if end else None, 2 ** level[c]))
-            # Without an end every request up to the last is decided.
-            left[c], decided[c], base[c] = (end.after, end.payout_id, end.sums) if end else (0, decided[c], base[c])
-        active = [c for c in active if left[c] > 0]
-
-    spans = dimension(run.sparkSession, spans or [("-", "", "", 0)], "span_currency, after_id, end_id, level")
+    for currency, rest in left.items():
+        decided = ""
+        for slice_ in sorted(facts.get(currency, []), key=lambda r: r[SLICE]):
+            inside = False
+            while rest > 0:
+                j = rest.bit_length() - 1
+                if not inside:
+                    need, below = slice_[f"need_{j}"], slice_[f"below_{j}"]
+                    if (need is None or need > rest) and rest - below >= 2**j:
+                        rest -= below
+                        break
+                found = _level_end(asks, currency, slice_[SLICE], decided if inside else "", rest, 2**j)
+                if found.end is None:
+                    rest -= found.total or 0
+                    break
+                spans.append((currency, decided, found.end.payout_id, 2**j))
+                decided, rest, inside = found.end.payout_id, found.end.after, True
+        if rest > 0:
+            # Every request up to the last is decided.
+            spans.append((currency, decided, None, 2 ** (rest.bit_length() - 1)))
+
+    spans = dimension(asks.sparkSession, spans or [("-", "", "", 0)], "span_currency, after_id, end_id, level")
     inside = (F.col("currency") == F.col("span_currency")) & (F.col("payout_id") > F.col("after_id")) & (
         F.col("end_id").isNull() | (F.col("payout_id") <= F.col("end_id")))
     fits = F.expr("ask = 0 or coalesce(ask < level or payout_id = end_id, false)")
-    return run.join(F.broadcast(spans), inside, "left").select(
+    return asks.join(F.broadcast(spans), inside, "left").select(
         "payout_id", "currency", F.col("ask").alias("total_net_minor"),
         F.when(fits, "EXECUTABLE").otherwise("INSUFFICIENT_CASH").alias("verdict"))
 

@@ -178,11 +178,27 @@ def incoming(s: Scenario) -> DataFrame:
         "validity", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(copy)").alias("received_at"))
 
 
-@query("ingest_settlements", "SELECT provider, provider_settlement_id, currency, validity FROM event_verdicts WHERE num % 3 <> 0")
+def incoming_lines(s: Scenario) -> DataFrame:
+    """The lines of every incoming copy; the later copy tells other amounts."""
+    lines = g.flatten_settlement_report(reports(s)).filter("provider_transaction_id is not null").select(
+        "provider_settlement_id", "line_no", "provider_transaction_id", "line_gross_minor", "line_net_minor")
+    copies = lines.withColumn("num", F.expr("cast(regexp_extract(provider_settlement_id, '([0-9]+)$', 1) as bigint)")).withColumn(
+        "copy", F.explode(F.expr("sequence(1, case when num % 4 = 0 then 2 else 1 end)")))
+    return copies.select(
+        F.expr("concat(provider_settlement_id, '_', copy)").alias("settlement_record_id"), "line_no", "provider_transaction_id",
+        F.expr("line_gross_minor + (copy - 1) * 7").alias("line_gross_minor"), "line_net_minor")
+
+
+@query("ingest_settlements", """SELECT v.provider, v.provider_settlement_id, v.currency, v.validity, l.line_no, l.provider_transaction_id, l.line_gross_minor, l.line_net_minor FROM event_verdicts v
+LEFT JOIN pulled_lines l ON l.provider = v.provider AND l.provider_settlement_id = v.provider_settlement_id AND l.provider_transaction_id IS NOT NULL WHERE v.num % 3 <> 0""")
 def _(s):
     new = incoming(s)
     stored = new.filter("num % 3 = 0")
-    return g.ingest_settlements(new, stored).select("provider", "provider_settlement_id", "currency", "validity")
+    ingested = g.ingest_settlements(new, stored)
+    key = ["provider", "provider_settlement_id"]
+    lines = g.ingest_settlement_lines(ingested, incoming_lines(s))
+    return ingested.select(*key, "currency", "validity").join(
+        lines.select(*key, "line_no", "provider_transaction_id", "line_gross_minor", "line_net_minor"), key, "left")
 
 
 # ------------------------------------------------------------------ tables

@@ -48,15 +48,9 @@ def payment_events(s: Scenario) -> DataFrame:
     return routed.join(ours, ["provider", "provider_transaction_id"]).select("event_id", "payment_id", "target_state", "received_at", "delivery_id")
 
 
-@query("event_decision", """SELECT e.event_id, e.target_state, c.state AS current_state, d.decision, d.effect FROM payment_events e CROSS JOIN ranks c JOIN decisions d ON d.cur = c.state AND d.tgt = e.target_state""")
-def _(s):
-    return payment_events(s).select("event_id", "target_state").join(F.broadcast(p.event_decision(s.spark)), "target_state").select(
-        "event_id", "target_state", "current_state", "decision", "effect")
-
-
 # The replay one event at a time.  ``waiting`` holds the retried refunds and failures by event id; it is
 # looked at again whenever the state has changed.
-@query("fold_payment_events", """RECURSIVE walk AS (
+WALK = """RECURSIVE walk AS (
   SELECT id AS payment_id, CAST(0 AS BIGINT) AS i, state, '' AS met, '' AS event_id, '' AS target_state, CAST(NULL AS VARCHAR) AS first_refund, '' AS decision, '' AS effect, CAST(NULL AS VARCHAR) AS released FROM event_payments
   UNION ALL
   SELECT w.payment_id, e.i,
@@ -64,7 +58,16 @@ def _(s):
     w.state, e.event_id, e.target_state,
     CASE WHEN d.effect = 'RETRY' AND e.target_state = 'REFUNDED' AND w.first_refund IS NULL THEN e.event_id ELSE w.first_refund END,
     d.decision, d.effect, CASE WHEN d.effect = 'PROCESSED' AND e.target_state = 'CAPTURED' THEN w.first_refund END
-  FROM walk w JOIN payment_events e ON e.payment_id = w.payment_id AND e.i = w.i + 1 JOIN decisions d ON d.cur = w.state AND d.tgt = e.target_state)
+  FROM walk w JOIN payment_events e ON e.payment_id = w.payment_id AND e.i = w.i + 1 JOIN decisions d ON d.cur = w.state AND d.tgt = e.target_state)"""
+
+
+@query("event_decision", WALK + """
+SELECT event_id, target_state, met AS current_state, decision, effect FROM walk WHERE i > 0""")
+def _(s):
+    return p.event_decisions(payment_events(s), s.event_payments)
+
+
+@query("fold_payment_events", WALK + """
 SELECT w.event_id, w.payment_id, w.target_state, w.met AS state_met, w.decision, w.effect = 'RETRY' AS retried,
   CASE WHEN w.effect <> 'RETRY' THEN w.effect WHEN r.released = w.event_id THEN 'PROCESSED' WHEN f.state = 'REFUNDED' AND f.refunded_i > w.i THEN 'NO_EFFECT' ELSE 'FAILED' END AS final_effect, f.state AS final_state
 FROM walk w JOIN (SELECT payment_id, arg_max(state, i) AS state, min(i) FILTER (state = 'REFUNDED') AS refunded_i FROM walk GROUP BY 1) f ON f.payment_id = w.payment_id

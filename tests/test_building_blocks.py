@@ -48,7 +48,7 @@ def test_hot_key_spans_slices(spark, skewed):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df = spark.createDataFrame(skewed, "key string, at int, i int, v int")
-        cut = ordered._sliced(df, ["key"], ["at", "i"], "test")
+        cut = ordered.sliced(df, ["key"], ["at", "i"], "test")
         assert cut.filter("key = 'hot'").select(ordered.SLICE).distinct().count() > 1
         expected = brute(skewed)
         sums = ordered.running_sums(df, ["key"], ["at", "i"], {"total": F.col("v")})
