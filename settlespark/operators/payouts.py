@@ -52,31 +52,38 @@ def build_payouts(checks: DataFrame, lines: DataFrame, payments: DataFrame) -> D
     return row_numbers(rows, ["payout_id"], ["payment_id"], "line_no")
 
 
-def _slice_facts(asks: DataFrame, top: int) -> DataFrame:
-    """Per (currency, slice) and power j what decides a whole slice while 2^j to 2^(j+1) is left.
+#: Powers of two told of every slice in one pass; at most 63 / POWERS passes, and one unless the cash falls by more than 2^POWERS.
+POWERS = 8
 
-    ``below_j``: the sum of the requests under 2^j, all of which fit then.  ``need_j``: the least that must be left at the start of the slice
-    for one of the requests from 2^j on to fit, which is its own amount and the smaller ones before it.
+
+def _slice_facts(asks: DataFrame, powers: list[tuple[str, int]]) -> DataFrame:
+    """Per (currency, slice), for the currency's own power (currency, p) and the next lower ones j = p - k, what decides a whole slice while
+    2^j to 2^(j+1) is left.
+
+    ``below_k``: the sum of the requests under 2^j, all of which fit then.  ``need_k``: the least that must be left at the start of the slice
+    for one of the requests from 2^j on, but under 2^(j+1), to fit: its own amount and the smaller ones before it.
     """
+    rows = asks.join(F.broadcast(dimension(asks.sparkSession, powers, "currency, p")), "currency").withColumn("k", F.expr("cast(p - length(bin(ask)) + 1 as int)"))
     order = Window.partitionBy("currency", SLICE).orderBy("payout_id").rowsBetween(Window.unboundedPreceding, -1)
-    small = [F.expr(f"case when ask < {2**j} then ask else 0 end") for j in range(top)]
-    rows = asks.filter(F.col("ask") < 2**top).withColumn("power", F.expr("length(bin(ask)) - 1"))
-    before = F.coalesce(F.element_at(F.array(*[F.sum(x).over(order) for x in small]), F.col("power") + 1), F.lit(0))
-    return rows.withColumn("need", before + F.col("ask")).groupBy("currency", SLICE).agg(
-        *[F.sum(x).alias(f"below_{j}") for j, x in enumerate(small)],
-        *[F.min(F.when((F.col("power") == j) & (F.col("ask") > 0), F.col("need"))).alias(f"need_{j}") for j in range(top)])
-
-
-def _level_end(asks: DataFrame, currency: str, at: int, decided: str, left: int, level: int):
-    """In one slice, from ``decided`` on: the request after which less than ``level`` is left (none if there is none), what is left then, and the
-    sum of all requests under the level."""
-    order = Window.partitionBy("currency").orderBy("payout_id").rowsBetween(Window.unboundedPreceding, 0)
-    here = asks.filter((F.col(SLICE) == at) & (F.col("currency") == currency) & (F.col("payout_id") > decided))
-    here = here.withColumn("small", F.expr(f"case when ask < {level} then ask else 0 end")).withColumn("run", F.sum("small").over(order))
-    after = F.expr(f"{left} - run - case when ask < {level} then 0 else ask end")
-    here = here.withColumn("after", after).agg(
-        F.min_by(F.struct("payout_id", "after"), F.when(F.expr(f"after >= 0 and after < {level}"), F.col("payout_id"))).alias("end"), F.sum("small").alias("total"))
-    return here.first()
+    small = [F.expr(f"case when ask = 0 or k > {k} then ask else 0 end") for k in range(POWERS)]
+    for k, x in enumerate(small):
+        rows = rows.withColumn(f"before_{k}", F.coalesce(F.sum(x).over(order), F.lit(0)))
+    return rows.groupBy("currency", SLICE).agg(
+        *[F.sum(x).alias(f"below_{k}") for k, x in enumerate(small)],
+        *[F.min(F.expr(f"case when ask > 0 and k = {k} then before_{k} + ask end")).alias(f"need_{k}") for k in range(POWERS)])
+
+
+def _through_slice(asks: DataFrame, currency: str, at: int, left: int):
+    """One slice request by request: what is left after it, and each request after which a lower power of two is left, with the power before.
+
+    A slice is one range partition, so its requests fit a task however many there are in all.
+    """
+    one = asks.filter((F.col(SLICE) == at) & (F.col("currency") == currency)).agg(
+        F.sort_array(F.collect_list(F.struct("payout_id", "ask"))).alias("requests"))
+    return one.select(F.expr(f"""aggregate(requests, named_struct('left', {left}L, 'ends', cast(array() as array<struct<payout_id: string, level: bigint>>)), (s, x) ->
+        case when x.ask > s.left or x.ask = 0 then s else named_struct('left', s.left - x.ask, 'ends',
+          case when s.left = x.ask or length(bin(s.left - x.ask)) < length(bin(s.left))
+            then concat(s.ends, array(named_struct('payout_id', x.payout_id, 'level', shiftleft(1L, length(bin(s.left)) - 1)))) else s.ends end) end)""").alias("s")).first().s
 
 
 def payout_cash_check(checks: DataFrame, balances: DataFrame) -> DataFrame:
@@ -85,40 +92,49 @@ def payout_cash_check(checks: DataFrame, balances: DataFrame) -> DataFrame:
 
     While at least 2^j is left, every request below 2^j fits, and the first larger one that fits leaves less than 2^j.  So a slice of the
     sequence is known by two numbers per power (``_slice_facts``), and the slices follow one another by those numbers alone; only the
-    slice in which a power is used up is looked into, and there are no more of those than powers.  All requests are read three times: to
-    slice them, for the facts of the slices, and for the verdicts.  What reaches the driver is one row per slice and currency.
+    slices in which a power is used up are gone through, and there are no more of those than powers.  All requests are read a few times: to
+    slice them, for the facts of the slices (see ``POWERS``), and for the verdicts.  What reaches the driver is one row per slice and currency.
     """
     asks = checks.filter("verdict = 'ACCEPTED'").select("payout_id", "currency", F.col("total_net_minor").alias("ask"))
     cash = balances.filter("account_id = 'acct_platform_cash'").select("currency", "balance_minor").collect()
-    left = {r.currency: max(r.balance_minor, 0) for r in cash}
-    top = max([v.bit_length() for v in left.values()], default=0)
     asks = sliced(asks, ["currency"], ["payout_id"], "payout-asks")
-    facts: dict[str, list] = {}
-    if top:
-        for r in _slice_facts(asks, top).collect():
-            facts.setdefault(r.currency, []).append(r)
-
-    spans = []
-    for currency, rest in left.items():
-        decided = ""
-        for slice_ in sorted(facts.get(currency, []), key=lambda r: r[SLICE]):
-            inside = False
-            while rest > 0:
-                j = rest.bit_length() - 1
-                if not inside:
-                    need, below = slice_[f"need_{j}"], slice_[f"below_{j}"]
-                    if (need is None or need > rest) and rest - below >= 2**j:
-                        rest -= below
-                        break
-                found = _level_end(asks, currency, slice_[SLICE], decided if inside else "", rest, 2**j)
-                if found.end is None:
-                    rest -= found.total or 0
+    left = {r.currency: r.balance_minor for r in cash if r.balance_minor > 0}
+    decided, done, spans = dict.fromkeys(left, ""), dict.fromkeys(left, -1), []
+    walking = dict(left)
+    while walking:
+        powers = {c: left[c].bit_length() - 1 for c in walking}
+        facts: dict[str, list] = {c: [] for c in walking}
+        ahead = None
+        for c in walking:
+            rest_of = (F.col("currency") == c) & (F.col(SLICE) > done[c])
+            ahead = rest_of if ahead is None else ahead | rest_of
+        for r in _slice_facts(asks.filter(ahead), list(powers.items())).collect():
+            facts[r.currency].append(r)
+        for currency in list(walking):
+            rest = left[currency]
+            for slice_ in sorted(facts[currency], key=lambda r: r[SLICE]):
+                k = powers[currency] - rest.bit_length() + 1
+                if k >= POWERS:
+                    break  # The facts of lower powers come with the next pass.
+                level, need, below = 1 << rest.bit_length() - 1, slice_[f"need_{k}"], slice_[f"below_{k}"]
+                if (need is None or need > rest) and rest - below >= level:
+                    rest -= below
+                else:
+                    found = _through_slice(asks, currency, slice_[SLICE], rest)
+                    for end in found.ends:
+                        spans.append((currency, decided[currency], end.payout_id, end.level))
+                        decided[currency] = end.payout_id
+                    rest = found.left
+                done[currency] = slice_[SLICE]
+                if rest == 0:
                     break
-                spans.append((currency, decided, found.end.payout_id, 2**j))
-                decided, rest, inside = found.end.payout_id, found.end.after, True
-        if rest > 0:
-            # Every request up to the last is decided.
-            spans.append((currency, decided, None, 2 ** (rest.bit_length() - 1)))
+            else:
+                walking.pop(currency)  # No slice is left.
+            left[currency] = rest
+            if rest == 0:
+                walking.pop(currency, None)
+    # Every request up to the last is decided where something is left.
+    spans += [(c, decided[c], None, 1 << rest.bit_length() - 1) for c, rest in left.items() if rest > 0]
 
     spans = dimension(asks.sparkSession, spans or [("-", "", "", 0)], "span_currency, after_id, end_id, level")
     inside = (F.col("currency") == F.col("span_currency")) & (F.col("payout_id") > F.col("after_id")) & (
