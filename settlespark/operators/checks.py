@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from settlespark.functions.keyed import repeated_keys
 from settlespark.functions.ordered import running_sums
-from settlespark.vocab import dimension
 
 
 def _total(direction: str) -> Column:
@@ -137,23 +136,53 @@ def case_row_violations(cases: DataFrame) -> DataFrame:
     return cases.withColumn("problem", problem).filter("problem is not null").select("id", "status", "problem")
 
 
+def _per_table(entries: list[tuple], at: int) -> list[tuple[DataFrame, list[tuple]]]:
+    """The entries of each table together, so that every table is read once for all its constraints."""
+    tables: dict[int, tuple[DataFrame, list[tuple]]] = {}
+    for entry in entries:
+        tables.setdefault(id(entry[at]), (entry[at], []))[1].append(entry)
+    return list(tables.values())
+
+
 def foreign_key_orphans(relations: list[tuple[str, DataFrame, Column, str, DataFrame, str]]) -> DataFrame:
-    """``relations``: (name, child, child row id, child column, parent, parent column)."""
-    parts = [
-        child.filter(F.col(column).isNotNull()).select(F.lit(name).alias("relation"), row_id.alias("child_id"), F.col(column).alias("missing_parent"))
-        .join(parent.select(F.col(key).alias("missing_parent")), "missing_parent", "left_anti")
-        for name, child, row_id, column, parent, key in relations
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """``relations``: (name, child, child row id, child column, parent, parent column).
+
+    All references are one anti-join of different (parent, key) pairs.  The keys of the children are reduced to different ones in the task that
+    reads them, so a parent with a third of all children is one row; only children of missing parents are looked up afterwards.
+    """
+    parents = {(id(parent), key): (n, parent) for n, (*_, parent, key) in enumerate(relations)}
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("parent"), F.col(key).cast("string").alias("key")) for (_, key), (n, df) in parents.items()])
+
+    def children(*extra) -> DataFrame:
+        parts = []
+        for child, own in _per_table(relations, 1):
+            links = F.array(*[
+                F.struct(F.lit(parents[id(parent), key][0]).alias("parent"), F.col(column).cast("string").alias("key"), *[e(name, row_id) for e in extra])
+                for name, _, row_id, column, parent, key in own])
+            parts.append(child.select(F.explode(links).alias("l")).select("l.*").filter("key is not null"))
+        return reduce(DataFrame.unionByName, parts)
+
+    missing = children().distinct().join(known, ["parent", "key"], "left_anti")
+    told = children(lambda name, _: F.lit(name).alias("relation"), lambda _, row_id: row_id.cast("string").alias("child_id"))
+    return told.join(missing, ["parent", "key"], "left_semi").select("relation", "child_id", F.col("key").alias("missing_parent"))
 
 
 def unique_key_breaks(keys: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
-    """``keys``: (name, rows the key applies to, key columns)."""
-    parts = [
-        repeated_keys(df, cols).select(F.lit(name).alias("key_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key_value"), "n")
-        for name, df, cols in keys
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """``keys``: (name, rows the key applies to, key columns).
+
+    All keys of all tables are counted at once by (key number, hash of the value), twelve bytes a row.  Only rows whose hash comes twice are
+    counted again by their values.
+    """
+    parts = []
+    for n, (df, own) in enumerate(_per_table(keys, 1)):
+        values = F.array(*[
+            F.struct(F.lit(1000 * n + i).alias("no"), F.lit(name).alias("key_name"), F.array(*[F.col(c).cast("string") for c in cols]).alias("values"))
+            for i, (name, _, cols) in enumerate(own)])
+        parts.append(df.select(F.explode(values).alias("k")).select("k.*").withColumn("hash", F.xxhash64("values")))
+    every = reduce(DataFrame.unionByName, parts)
+    twice = every.groupBy("no", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("no", "hash")
+    again = every.join(twice, ["no", "hash"], "left_semi").groupBy("key_name", "values").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return again.select("key_name", F.concat_ws("|", "values").alias("key_value"), "n")
 
 
 def history_mutations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -167,12 +196,14 @@ def history_mutations(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("id", F.expr("case when _there is null then 'DELETED' else 'CHANGED' end").alias("mutation"))
 
 
-def enum_violations(columns: list[tuple[str, DataFrame, str, str, list[str]]]) -> DataFrame:
-    """``columns``: (name, rows, row id column, checked column, vocabulary)."""
+def enum_violations(columns: list[tuple[str, DataFrame, str, str | Column, list[str]]]) -> DataFrame:
+    """``columns``: (name, rows, row id column, checked column or expression, vocabulary).  Each table is read once; nothing is shuffled."""
     parts = []
-    for name, df, row_id, column, vocabulary in columns:
-        known = dimension(df.sparkSession, [(v,) for v in vocabulary], "value")
-        parts.append(
-            df.select(F.lit(name).alias("column_name"), F.col(row_id).alias("row_id"), F.col(column).alias("value"))
-            .join(F.broadcast(known), "value", "left_anti"))
+    for df, own in _per_table(columns, 1):
+        found = []
+        for name, _, row_id, column, vocabulary in own:
+            value = F.col(column) if isinstance(column, str) else column
+            found.append(F.when(value.isNotNull() & ~value.isin(vocabulary), F.struct(
+                F.lit(name).alias("column_name"), F.col(row_id).alias("row_id"), value.alias("value"))))
+        parts.append(df.select(F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("v")).select("v.*"))
     return reduce(DataFrame.unionByName, parts)

@@ -148,16 +148,19 @@ SELECT 'cev_' || id || '_' || n AS id, id AS case_id, CAST(n AS BIGINT) AS seq,
 FROM (SELECT id, {_SQLNUM} AS x FROM cases_b) JOIN (VALUES (1), (2), (3)) s(n) ON true"""
 
 
-@query("case_history_breaks", """SELECT id, case_id, seq, from_status, previous_to, to_status FROM (
-  SELECT *, lag(to_status) OVER w AS previous_to, row_number() OVER w AS rn FROM case_event_log WINDOW w AS (PARTITION BY case_id ORDER BY seq, id))
-WHERE rn > 1 AND from_status IS DISTINCT FROM previous_to""")
-def _(s):
-    log = cases_b(s).select(F.col("id").alias("cid"), F.expr(_NUM).alias("x"), F.explode(F.expr("sequence(1, 3)")).alias("n")).select(
+def case_event_log(s) -> DataFrame:
+    return cases_b(s).select(F.col("id").alias("cid"), F.expr(_NUM).alias("x"), F.explode(F.expr("sequence(1, 3)")).alias("n")).select(
         F.expr("concat('cev_', cid, '_', n)").alias("id"), F.col("cid").alias("case_id"), F.col("n").cast("bigint").alias("seq"),
         F.expr("case when n = 1 then 'OPEN' when n = 2 then case when x % 11 = 3 then 'RESOLVED' else 'OPEN' end "
                "else case when x % 13 = 5 then 'OPEN' else 'INVESTIGATING' end end").alias("from_status"),
         F.expr("case when n = 1 then 'OPEN' when n = 2 then 'INVESTIGATING' else 'RESOLVED' end").alias("to_status"))
-    return c.case_history_breaks(log)
+
+
+@query("case_history_breaks", """SELECT id, case_id, seq, from_status, previous_to, to_status FROM (
+  SELECT *, lag(to_status) OVER w AS previous_to, row_number() OVER w AS rn FROM case_event_log WINDOW w AS (PARTITION BY case_id ORDER BY seq, id))
+WHERE rn > 1 AND from_status IS DISTINCT FROM previous_to""")
+def _(s):
+    return c.case_history_breaks(case_event_log(s))
 
 
 @query("batch_summary", f"""SELECT s.*, c.cases_opened, c.cases_reused FROM ({matching.SUMMARY_SQL.format(src='results_b')}) s

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from settlespark import vocab
 from settlespark.operators import checks as k
-from settlespark.plans import attacks, cases
+from settlespark.plans import attacks, audit_ops, cases, events, ledger, matching, payments
 from settlespark.plans.derive_sql import CTE
 from settlespark.plans.registry import query
 from settlespark.sources.scenario import Scenario
@@ -155,6 +155,8 @@ _REFERENCES = [
     ("state_history", "id", "payment_id", "payments"), ("ledger_links", "payment_id", "ledger_transaction_id", "ledger_transactions"),
     ("ledger_transactions", "id", "reversal_of_transaction_id", "ledger_transactions"), ("payout_lines", "payout_record_id", "payment_id", "payments"),
     ("payout_records", "id", "ledger_transaction_id", "ledger_transactions"), ("cases_b", "id", "payment_id", "payments"),
+    ("cases_b", "id", "batch_id", "batches"), ("cases_b", "id", "result_id", "results_b"), ("case_event_log", "id", "case_id", "cases_b"),
+    ("results_b", "id", "batch_id", "batches"), ("results_b", "id", "internal_payment_id", "payments"), ("stored_balances", "account_id", "account_id", "accounts"),
 ]
 _CASE_REASONS = [name for name, *_ in vocab.OUTCOMES]
 # (table, row id, column, vocabulary); null is no value
@@ -166,17 +168,31 @@ _VOCABULARIES = [
     ("payout_records", "id", "status", vocab.PAYOUT_STATUSES), ("payout_records", "id", "currency", vocab.CURRENCIES),
     ("fee_policies", "id", "currency", vocab.CURRENCIES), ("accounts", "id", "normal_side", ["DEBIT", "CREDIT"]),
     ("cases_b", "id", "status", vocab.CASE_STATUSES), ("cases_b", "id", "reason", _CASE_REASONS), ("cases_b", "id", "severity", ["LOW", "MEDIUM", "HIGH"]),
+    ("classified_deliveries", "id", "outcome", vocab.DELIVERY_OUTCOMES), ("results_b", "id", "outcome", _CASE_REASONS), ("batches", "id", "status", vocab.BATCH_STATUSES),
+    ("accounts", "id", "account_type", ["ASSET", "LIABILITY", "REVENUE", "EXPENSE"]), ("accounts", "id", "state", ["ACTIVE", "CLOSED"]),
+    ("stored_balances", "account_id", "currency", vocab.CURRENCIES), ("case_event_log", "id", "from_status", vocab.CASE_STATUSES), ("case_event_log", "id", "to_status", vocab.CASE_STATUSES),
+    ("provider_transactions", "id", "source", ["WEBHOOK", "PULL", "MANUAL"]), ("audit_events", "id", "actor_type", ["USER", "SERVICE", "WORKER", "WEBHOOK", "SYSTEM"]),
 ]
 # (table, row id that decides on the repetition, key columns)
 _KEYS = [
     ("payments", "id", ["id"]), ("ledger_transactions", "id", ["id"]), ("state_history", "id", ["id"]), ("fee_policies", "id", ["code", "currency"]),
     ("accounts", "id", ["code"]), ("payout_records", "id", ["id"]), ("ledger_links", "ledger_transaction_id", ["payment_id", "ledger_transaction_id", "role"]),
-    ("provider_transactions", "id", ["id"]), ("cases_b", "id", ["id"]),
+    ("provider_transactions", "id", ["id"]), ("cases_b", "id", ["id"]), ("results_b", "id", ["batch_id", "subject_key"]), ("results_b", "id", ["id"]),
+    ("provider_events", "delivery_id", ["provider", "event_id"]), ("classified_deliveries", "id", ["id"]), ("stored_balances", "account_id", ["account_id", "currency"]),
+    ("case_event_log", "id", ["id"]), ("payout_lines", "payout_record_id", ["payout_record_id", "line_no"]), ("settlement_records", "id", ["id"]), ("batches", "id", ["id"]),
+    ("audit_events", "id", ["id"]),
 ]
 
 
 def _rows(s: Scenario, name: str) -> DataFrame:
-    return cases.cases_b(s) if name == "cases_b" else getattr(s, name)
+    """A table by its name in SQL, one and the same frame however often it is asked for."""
+    made = {
+        "cases_b": cases.cases_b, "results_b": matching.results_b, "classified_deliveries": events.classified, "provider_events": events.provider_events,
+        "batches": payments.batches, "stored_balances": ledger.stored_balances, "case_event_log": cases.case_event_log, "audit_events": audit_ops.audit_events}
+    known = s.__dict__.setdefault("_checked_tables", {})
+    if name not in known:
+        known[name] = made[name](s) if name in made else getattr(s, name)
+    return known[name]
 
 
 def _reference_sql() -> str:
@@ -210,6 +226,7 @@ UNION ALL SELECT 'settlement_record_lines.settlement_record_id', CAST(l.line_no
 UNION ALL SELECT 'payout_lines.payout_record_id', l.payment_id, l.payout_record_id FROM attacked_payout_lines l WHERE NOT EXISTS (SELECT 1 FROM payout_records r WHERE r.id = l.payout_record_id)""" + _reference_sql())
 def _(s):
     e, pay = attacks.entries(s), s.payments.filter("k % 179 <> 3")
+    parents = {parent: _rows(s, parent).filter("not " + _BENT.format("id")) for *_, parent in _REFERENCES}
     return k.foreign_key_orphans([
         ("ledger_entries.transaction_id", e, F.col("id"), "transaction_id", s.ledger_transactions, "id"),
         ("ledger_entries.account_id", e, F.col("id"), "account_id", s.accounts, "id"),
@@ -220,7 +237,7 @@ def _(s):
         ("settlement_record_lines.settlement_record_id", s.statement_lines, F.col("line_no").cast("string"), "settlement_record_id",
          s.settlement_records.filter("provider_settlement_id not like 'set2_%'"), "id"),
         ("payout_lines.payout_record_id", payout_lines(s), F.col("payment_id"), "payout_record_id", s.payout_records, "id"),
-        *[(f"{child}.{column}", _rows(s, child), F.col(row), column, _rows(s, parent).filter("not " + _BENT.format("id")), "id") for child, row, column, parent in _REFERENCES],
+        *[(f"{child}.{column}", _rows(s, child), F.col(row), column, parents[parent], "id") for child, row, column, parent in _REFERENCES],
     ])
 
 
@@ -234,6 +251,7 @@ UNION ALL SELECT 'payout_lines(payment_id)', payment_id, count(*) FROM attacked_
 UNION ALL SELECT 'reconciliation_cases(open subject, reason)', coalesce(payment_id, '~') || '|' || provider_transaction_id || '|' || reason, count(*) FROM (SELECT * FROM cases_b UNION ALL SELECT * FROM cases_b WHERE occurrence_count > 1) WHERE status IN ('OPEN','INVESTIGATING') GROUP BY 2 HAVING count(*) > 1""" + _key_sql())
 def _(s):
     open_cases = cases.cases_b(s).filter("status in ('OPEN', 'INVESTIGATING')").withColumn("payment_key", F.coalesce("payment_id", F.lit("~")))
+    repeated = {table: _rows(s, table).unionByName(_rows(s, table).filter(_BENT.format(row))) for table, row, _ in _KEYS}
     return k.unique_key_breaks([
         ("payments(provider, provider_transaction_id)", s.payments.filter("provider_transaction_id is not null"), ["provider", "provider_transaction_id"]),
         ("provider_transactions(provider, provider_transaction_id)", s.provider_transactions, ["provider", "provider_transaction_id"]),
@@ -242,7 +260,7 @@ def _(s):
         ("ledger_entries(transaction_id, line_no)", attacks.entries(s), ["transaction_id", "line_no"]),
         ("payout_lines(payment_id)", payout_lines(s), ["payment_id"]),
         ("reconciliation_cases(open subject, reason)", open_cases.unionByName(open_cases.filter("occurrence_count > 1")), ["payment_key", "provider_transaction_id", "reason"]),
-        *[(f"{table}({', '.join(keys)})", _rows(s, table).unionByName(_rows(s, table).filter(_BENT.format(row))), keys) for table, row, keys in _KEYS],
+        *[(f"{table}({', '.join(keys)})", repeated[table], keys) for table, row, keys in _KEYS],
     ])
 
 
@@ -264,14 +282,13 @@ UNION ALL SELECT 'settlement_records.currency', id, currency FROM settlement_rec
 UNION ALL SELECT 'payments.state', id, s FROM (SELECT id, CASE WHEN k % 181 = 4 THEN 'LIMBO' ELSE state END AS s FROM payments) WHERE s NOT IN ('CREATED','AUTHORIZED','CAPTURED','SETTLED','FAILED','REFUNDED')""" + _vocabulary_sql())
 def _(s):
     h, e = attacks.headers(s), attacks.entries(s)
-    bent = s.payments.withColumn("state", F.expr("case when k % 181 = 4 then 'LIMBO' else state end"))
     return k.enum_violations([
         ("ledger_transactions.type", h, "id", "type", vocab.LEDGER_TYPES),
         ("ledger_transactions.source_type", h, "id", "source_type", vocab.SOURCE_TYPES),
         ("ledger_entries.direction", e, "id", "direction", ["DEBIT", "CREDIT"]),
         ("ledger_entries.currency", e, "id", "currency", vocab.CURRENCIES),
         ("settlement_records.currency", s.settlement_records, "id", "currency", vocab.CURRENCIES),
-        ("payments.state", bent, "id", "state", vocab.PAYMENT_STATES),
-        *[(f"{table}.{column}", _rows(s, table).filter(F.col(column).isNotNull() | F.expr(_BENT.format(row))).withColumn(column, F.expr(
-            f"case when {_BENT.format(row)} then 'BENT' else {column} end")).withColumn("_row", F.col(row)), "_row", column, words) for table, row, column, words in _VOCABULARIES],
+        ("payments.state", _rows(s, "payments"), "id", F.expr("case when k % 181 = 4 then 'LIMBO' else state end"), vocab.PAYMENT_STATES),
+        *[(f"{table}.{column}", _rows(s, table), row, F.expr(f"case when {_BENT.format(row)} then 'BENT' else {column} end"), words)
+          for table, row, column, words in _VOCABULARIES],
     ])
