@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from settlespark.operators import ingest as g, settlement
 from settlespark.plans.derive_sql import CTE
 from settlespark.plans.registry import query
-from settlespark.sources import tables
 from settlespark.sources.scenario import NOW_EVENTS, Scenario, WEBHOOK_SECRET
 
 
@@ -199,24 +196,3 @@ def _(s):
     lines = g.ingest_settlement_lines(ingested, incoming_lines(s))
     return ingested.select(*key, "currency", "validity").join(
         lines.select(*key, "line_no", "provider_transaction_id", "line_gross_minor", "line_net_minor"), key, "left")
-
-
-# ------------------------------------------------------------------ tables
-
-
-@query("scan_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {v}" for t, v in [
-    ("payments", "payments"), ("settlement_records", "settlement_records"), ("settlement_record_lines", "statement_lines"), ("provider_transactions", "provider_transactions"),
-    ("ledger_transactions", "ledger_transactions"), ("ledger_entries", "ledger_entries"), ("payment_ledger_transactions", "ledger_links"),
-    ("payment_state_history", "state_history"), ("payout_records", "payout_records"), ("payout_lines", "payout_lines")]))
-def _(s):
-    named = {
-        "payments": s.payments, "settlement_records": s.settlement_records, "settlement_record_lines": s.statement_lines,
-        "provider_transactions": s.provider_transactions, "ledger_transactions": s.ledger_transactions, "ledger_entries": s.ledger_entries,
-        "payment_ledger_transactions": s.ledger_links, "payment_state_history": s.state_history, "payout_records": s.payout_records, "payout_lines": s.payout_lines}
-    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in named.items()])
-
-
-@query("write_tables", "SELECT account_id, id, transaction_id, amount_minor FROM ledger_entries")
-def _(s):
-    path = tables.write_table(s.ledger_entries, "ledger_entries")
-    return tables.read_table(s.spark, path, "ledger_entries").select("account_id", "id", "transaction_id", "amount_minor")

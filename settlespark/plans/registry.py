@@ -28,7 +28,7 @@ def query(key: str, sql: str | None = None):
 
 def _load() -> None:
     from settlespark.plans import (  # noqa: F401
-        audit_ops, cases, checks, events, ledger, matching, money, payments, settlements, streams,
+        audit_ops, cases, checks, events, ledger, matching, money, payments, settlements, stored, streams,
     )
 
 
