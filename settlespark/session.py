@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,3 +68,14 @@ def remove(*tables: DataFrame) -> None:
         for folder in {os.path.dirname(file) for file in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed from the executors.
+
+    Spark removes them once the driver has collected the frames they belong to, which a large driver heap may put off for very long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
