@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,11 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
-# Candidates: long runs of the characters credentials are made of, with letters and digits in them.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+# Candidates lie in long runs of the characters credentials are made of.  One begins at the start of its run or after a separator, ends before
+# one or with the run, and has letters and digits; shorter ones cannot be told from ordinary names.
+LEAST_CANDIDATE = 16
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CANDIDATE)
+SEPARATORS = "=/.-"
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 #: Credentials of each kind that an automaton is fitted on and, as many again, judged on: those with the least hashes.
@@ -43,14 +47,26 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def scan_text(text: str) -> tuple[list[tuple], list[tuple]]:
-    base, candidates = base_spans(text), []
+    """Base matches, and the runs in which candidates may lie: those with letters and digits that no base match covers whole."""
+    base, runs = base_spans(text), []
     for run in RUN.finditer(text):
         # A hexadecimal match of 24 characters lies inside one run.
         base += [("hex", run.start() + m.start(), run.start() + m.end(), m.group()) for m in HEX.finditer(run.group()) if len(m.group()) >= HEX_LEAST]
         if _DIGIT.search(run.group()) and _LETTER.search(run.group()):
-            candidates.append((run.start(), run.end(), run.group()))
+            runs.append((run.start(), run.end(), run.group()))
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return base, [c for c in candidates if not any(s[1] < c[1] and c[0] < s[2] for s in base)]
+    return base, [r for r, inside in zip(runs, _covered(runs, base)) if not inside]
+
+
+def _covered(spans: list[tuple], base: list[tuple]) -> list[bool]:
+    """Whether one base match covers each of the spans (in order of their start); both lists are gone through once."""
+    out, at, end = [], 0, 0
+    for start, stop, *_ in spans:
+        while at < len(base) and base[at][1] <= start:
+            end = max(end, base[at][2])
+            at += 1
+        out.append(stop <= end)
+    return out
 
 
 def shape(value: str) -> str:
@@ -132,6 +148,7 @@ class Automaton:
                 self._fold(target, tree)
         place = {s: i for i, s in enumerate(kept)}
         self.ends, self.next = [self.ends[s] for s in kept], [{c: [place[e[0]], e[1]] for c, e in self.next[s].items()} for s in kept]
+        self.totals = [self.total(s) for s in range(len(kept))]
 
     def likelihood(self, sample: str, symbols: int = 12, little: float = 0.05) -> float:
         """Mean log-likelihood of a symbol of ``sample``, its end included; what was never seen gets a little."""
@@ -145,6 +162,33 @@ class Automaton:
         return sum_ / (len(sample) + 1)
 
 
+    def furthest(self, sample: str, start: int, ends: list[int], least: float, symbols: int = 12, little: float = 0.05) -> int | None:
+        """The last of the ends (rising) up to which ``sample`` from ``start`` on has at least the likelihood, or none.
+
+        One walk, with the sums of ``likelihood``.  It stops where nothing can become likely again: outside all states every further symbol
+        costs the same, so a mean below the least that is no better than that cost stays below.
+        """
+        lost = math.log(little / (little * symbols))
+        at, sum_, found, nth = 0, 0.0, None, 0
+        for place in range(start, len(sample) + 1):
+            while nth < len(ends) and ends[nth] < place:
+                nth += 1
+            if nth == len(ends):
+                break
+            if ends[nth] == place:
+                last = math.log(((self.ends[at] if at >= 0 else 0) + little) / ((self.totals[at] if at >= 0 else 0) + little * symbols))
+                if sum_ + last >= least * (place - start + 1):
+                    found = place
+            if place == len(sample):
+                break
+            edge = self.next[at].get(sample[place]) if at >= 0 else None
+            sum_ += math.log(((edge[1] if edge else 0) + little) / ((self.totals[at] if at >= 0 else 0) + little * symbols))
+            at = edge[0] if edge else -1
+            if at < 0 and lost <= least and sum_ < least * (place - start + 1):
+                break
+        return found
+
+
 class Formats:
     """One automaton for each kind of credential, with the least likelihood that counts as its format."""
 
@@ -158,9 +202,29 @@ class Formats:
                 likely = sorted(automaton.likelihood(v) for v in judge)
                 self.known.append((automaton, likely[int(len(likely) * LEAST_SHARE)]))
 
-    def accepts(self, value: str) -> bool:
-        value = shape(value)
-        return any(a.likelihood(value) >= least for a, least in self.known)
+    def accepted(self, run: str) -> list[tuple[int, int]]:
+        """The candidates of a run that some automaton accepts: from the left, at each start the longest, none overlapping another."""
+        cuts = [i for i, c in enumerate(run) if c in SEPARATORS]
+        ends, shaped, out, at = [*cuts, len(run)], shape(run), [], 0
+        for start in (0, *[i + 1 for i in cuts]):
+            if start < at or len(run) - start < LEAST_CANDIDATE:
+                continue
+            # The first end of a long enough candidate with a letter and a digit; what begins there and goes on has them too.
+            digit, letter = _DIGIT.search(run, start), _LETTER.search(run, start)
+            if not digit or not letter:
+                break
+            least = max(start + LEAST_CANDIDATE, digit.end(), letter.end())
+            long_enough = ends[bisect_left(ends, least):]
+            best = max((e for a, likely in self.known if (e := a.furthest(shaped, start, long_enough, likely)) is not None), default=None)
+            if best is not None:
+                out.append((start, best))
+                at = best
+        return out
+
+    def spans(self, base: list[tuple], runs: list[tuple]) -> list[tuple[str, int, int]]:
+        """The format spans of a text: accepted candidates that no base match covers whole."""
+        found = [(start + a, start + b) for start, _, run in runs for a, b in self.accepted(run)]
+        return [("format", a, b) for (a, b), inside in zip(found, _covered(found, base)) if not inside]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -191,8 +255,10 @@ def _infer(scanned: DataFrame) -> Formats:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end in code points, by start and then kind) for every row of ``docs`` (doc_id, text).
 
-    ``base`` has the base formats; ``spans`` has these and, as kind "format", the candidates outside them that are as likely under the automaton
-    of some kind as nineteen in twenty of that kind's own credentials.  A null or empty text has no spans; repeated rows have equal
+    ``base`` has the base formats; ``spans`` has these and, as kind "format", the candidates that are as likely under the automaton of some kind
+    as nineteen in twenty of that kind's own credentials.  Candidates are all parts of at least 16 characters of a run of credential characters, between
+    its ends and inner separators, with a letter and a digit; of overlapping ones the leftmost and there the longest counts, and one that a base
+    match covers whole adds nothing.  A null or empty text has no spans; repeated rows have equal
     spans; with fewer than 20 credentials of a kind there is no automaton for it.
 
     Texts are read once; the few spans and candidates are written to the shared folder and the rest runs on them.
@@ -204,11 +270,11 @@ def find(docs: DataFrame) -> DataFrame:
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             spans, known = [], []
-            for base, candidates in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for base, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = [{k: s[k] for k in ("kind", "start", "end")} for s in base]
-                more = [{"kind": "format", "start": c["start"], "end": c["end"]} for c in candidates if formats.value.accepts(c["value"])]
+                more = formats.value.spans([(s["kind"], s["start"], s["end"]) for s in base], [(r["start"], r["end"], r["value"]) for r in runs])
                 known.append(own)
-                spans.append(sorted(own + more, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
+                spans.append(sorted(own + [dict(zip(("kind", "start", "end"), s)) for s in more], key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, span_type), pa.array(spans, span_type)], ["doc_id", "base", "spans"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
@@ -228,8 +294,8 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = []
             for text in batch.column(at).to_pylist():
                 if text:
-                    base, candidates = scan_text(text)
-                    spans = [s[:3] for s in base] + [("format", c[0], c[1]) for c in candidates if formats.value.accepts(c[2])]
+                    base, runs = scan_text(text)
+                    spans = [s[:3] for s in base] + formats.value.spans(base, runs)
                     text = redact_text(text, [dict(zip(("kind", "start", "end"), s)) for s in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))])
                 texts.append(text)
             columns = list(batch.columns)

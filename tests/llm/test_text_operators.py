@@ -157,5 +157,49 @@ def test_automaton_merges_what_repeats():
     assert automaton.likelihood("A000") > automaton.likelihood("0A0A")
 
 
+def _formats(seed=5):
+    rnd = random.Random(seed)
+    key = lambda: "sk-" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    return secrets.Formats([("assign", key()) for _ in range(400)]), key, rnd
+
+
+def test_candidates_behind_other_keys_in_paths_and_around_hex():
+    formats, key, _ = _formats()
+    for before, after in (("", ""), ("DB_PASS=", ""), ("https://host/path/", ""), ("?sig=", "&x=1"), ("a/b.c=", "/tail"), ("x ", " y")):
+        value = key()
+        text = before + value + after
+        base, runs = secrets.scan_text(text)
+        spans = formats.spans(base, runs)
+        assert any(a <= text.index(value) and text.index(value) + len(value) <= b for _, a, b in spans), text
+    value = "sk-" + "0123456789abcdef01234567" + "XY"  # a base match inside: the rest must go as well
+    base, runs = secrets.scan_text("k " + value)
+    assert base and runs
+    assert not formats.spans(*secrets.scan_text("just/some/ordinary-path.with-words2"))
+
+
+def test_accepted_parts_equal_all_parts_scored_one_by_one():
+    formats, key, rnd = _formats(6)
+    (automaton, least), = formats.known
+    for _ in range(300):
+        run = rnd.choice("=/.-").join(rnd.choice([key(), key()[3:], "word", "v2", "a.b", key()[:9], "0" * 30]) for _ in range(rnd.randint(1, 6)))
+        cuts = [i for i, c in enumerate(run) if c in secrets.SEPARATORS]
+        expected, at = [], 0
+        for a in (0, *[i + 1 for i in cuts]):
+            fit = [b for b in (*cuts, len(run)) if b - a >= 16 and any(c.isdigit() for c in run[a:b]) and any(c.isalpha() for c in run[a:b])
+                   and automaton.likelihood(secrets.shape(run[a:b])) >= least]
+            if a >= at and fit:
+                expected.append((a, max(fit)))
+                at = max(fit)
+        assert formats.accepted(run) == expected
+
+
+def test_covered_spans():
+    rnd = random.Random(3)
+    for _ in range(200):
+        make = lambda n, w: sorted((a, a + rnd.randint(1, w)) for a in (rnd.randint(0, 60) for _ in range(n)))
+        base, spans = [("hex", a, b) for a, b in make(6, 20)], make(10, 12)
+        assert secrets._covered(spans, base) == [any(a <= x and y <= b for _, a, b in base) for x, y in spans]
+
+
 def test_secrets_empty_table(no_docs):
     assert secrets.find(no_docs).collect() == [] and secrets.redact(no_docs).collect() == []
