@@ -21,7 +21,7 @@ GROUP = 32
 #: Per cent of a group that is filled before it is balanced: a little room lets differencing succeed without one more window.
 FILL = 99
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 PACKED = (
     "doc_id bigint, start bigint, length bigint, token_ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
