@@ -18,7 +18,7 @@ from settlespark.session import written
 
 LEAST_COSINE = 0.93
 #: Vectors per pivot, most pivots in all (the bound of the sample and of its broadcast), shards of a vector, vectors of a shard in one task.
-PER_PIVOT, MOST_PIVOTS, OVERLAP, BLOCK = 800, 8192, 3, 1500
+PER_PIVOT, MOST_PIVOTS, OVERLAP, BLOCK = 400, 16384, 3, 1500
 #: Neighbours that are looked at and kept, far ones among them, the stretch of robust pruning, the width of the greedy search and its medoids.
 LOOKED_AT, DEGREE, FAR, STRETCH, BEAM, MEDOIDS = 64, 24, 8, 1.2, 48, 16
 
