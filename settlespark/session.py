@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
+from gc import collect as collect_garbage
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,5 +77,5 @@ def release(spark: SparkSession) -> None:
 
     Spark removes them once the driver has collected the frames they belong to, which a large driver heap may put off for very long.
     """
-    gc.collect()
+    collect_garbage()
     spark._jvm.System.gc()
