@@ -170,19 +170,18 @@ def foreign_key_orphans(relations: list[tuple[str, DataFrame, Column, str, DataF
 def unique_key_breaks(keys: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
     """``keys``: (name, rows the key applies to, key columns).
 
-    All keys of all tables are counted at once by (key number, hash of the value), twelve bytes a row.  Only rows whose hash comes twice are
-    counted again by their values.
+    Each table is read once, and all keys of all tables are counted in one aggregate by (key number, values), combined in the task that reads
+    them.  The only thing the aggregate changes is a count, so it hashes and never sorts a table, and a value that comes very often is one row a task.
     """
-    parts = []
-    for n, (df, own) in enumerate(_per_table(keys, 1)):
+    parts, names = [], []
+    for df, own in _per_table(keys, 1):
         values = F.array(*[
-            F.struct(F.lit(1000 * n + i).alias("no"), F.lit(name).alias("key_name"), F.array(*[F.col(c).cast("string") for c in cols]).alias("values"))
-            for i, (name, _, cols) in enumerate(own)])
-        parts.append(df.select(F.explode(values).alias("k")).select("k.*").withColumn("hash", F.xxhash64("values")))
-    every = reduce(DataFrame.unionByName, parts)
-    twice = every.groupBy("no", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("no", "hash")
-    again = every.join(twice, ["no", "hash"], "left_semi").groupBy("key_name", "values").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return again.select("key_name", F.concat_ws("|", "values").alias("key_value"), "n")
+            F.struct(F.lit(len(names) + i).alias("no"), F.array(*[F.col(c).cast("string") for c in cols]).alias("values"))
+            for i, (_, _, cols) in enumerate(own)])
+        names += [name for name, *_ in own]
+        parts.append(df.select(F.explode(values).alias("k")).select("k.*"))
+    again = reduce(DataFrame.unionByName, parts).groupBy("no", "values").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return again.select(F.element_at(F.array(*map(F.lit, names)), F.col("no") + 1).alias("key_name"), F.concat_ws("|", "values").alias("key_value"), "n")
 
 
 def history_mutations(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -184,3 +184,16 @@ def test_drift_includes_missing_projection(spark):
     stored = spark.createDataFrame([("acct_psp_clearing", "EGP", -5, 1), ("acct_psp_clearing", "USD", 0, 0)], "account_id string, currency string, balance_minor bigint, entry_count bigint")
     got = ledger.verify_balances(stored, entries, vocab.ledger_accounts(spark)).collect()
     assert [(r.account_code, r.delta_minor, r.missing_projection) for r in got] == [("PLATFORM_CASH", -5, True)]
+
+
+def test_unique_keys_read_each_table_once(spark, tmp_path):
+    rows = [("a", "x"), ("a", "x"), ("a", None), ("a", None), ("b", "x"), ("b", "y")]
+    spark.createDataFrame(rows, "p string, q string").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("a",), ("b",)] * 500, "p string").write.parquet(str(tmp_path / "u"))
+    t, u = (spark.read.parquet(str(tmp_path / n)) for n in "tu")
+    found = checks.unique_key_breaks([("t(p, q)", t, ["p", "q"]), ("t(q)", t, ["q"]), ("u(p)", u, ["p"])])
+    assert sorted(map(tuple, found.collect())) == [
+        ("t(p, q)", "a", 2), ("t(p, q)", "a|x", 2), ("t(q)", "", 2), ("t(q)", "x", 3), ("u(p)", "a", 500), ("u(p)", "b", 500)]
+    plan = found._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].count("Relation [") == 2
+    assert "Sort" not in plan.split("== Physical Plan ==")[1]
