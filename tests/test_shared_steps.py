@@ -1,6 +1,12 @@
 """Steps that many queries share make only what is asked for, and make it once."""
 
-from settlespark.plans import audit_ops, cases
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from settlespark.operators import ingest
+from settlespark.plans import audit_ops, cases, events
+from settlespark.session import write_new
+from settlespark.sources.scenario import WEBHOOK_SECRET
 
 
 def test_audit_of_one_type_needs_its_own_tables_only(scenario, monkeypatch):
@@ -15,3 +21,25 @@ def test_audit_of_one_type_needs_its_own_tables_only(scenario, monkeypatch):
     for entity_type, rows in wanted.items():
         some = audit_ops.audit_events(scenario, entity_type).collect()
         assert rows and sorted(some, key=lambda r: r.id) == sorted(rows, key=lambda r: r.id)
+
+
+def test_deliveries_are_parsed_and_signed_once(scenario):
+    marked = ingest.classify_deliveries(scenario.deliveries, WEBHOOK_SECRET)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "sha2" not in plan
+
+    accepted = events.classified(scenario).filter("outcome = 'ACCEPTED'").drop("outcome", "http_status")
+    again = ingest.parse_provider_events(accepted)
+    told = ingest.parse_provider_events(accepted, accepted=True)
+    assert told.dtypes == again.dtypes
+    assert sorted(map(str, told.collect())) == sorted(map(str, again.collect()))
+    assert again.filter("reject_reason is not null").isEmpty()
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("from_json") < again._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+
+def test_a_table_of_one_task_is_read_by_many(spark, tmp_path):
+    rows = spark.range(200_000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    path = write_new(rows, "groups")
+    (file,) = [f for f in rows.sparkSession.read.parquet(path).inputFiles()]
+    assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 2
+    assert spark.read.parquet(path).agg(F.count("text"), F.sum("id")).first() == (200_000, sum(range(200_000)))
