@@ -3,8 +3,8 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from settlespark.operators import ingest
-from settlespark.plans import audit_ops, cases, events
+from settlespark.operators import ingest, matching as m
+from settlespark.plans import audit_ops, cases, events, matching
 from settlespark.session import write_new
 from settlespark.sources.scenario import WEBHOOK_SECRET
 
@@ -43,3 +43,15 @@ def test_a_table_of_one_task_is_read_by_many(spark, tmp_path):
     (file,) = [f for f in rows.sparkSession.read.parquet(path).inputFiles()]
     assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 2
     assert spark.read.parquet(path).agg(F.count("text"), F.sum("id")).first() == (200_000, sum(range(200_000)))
+
+
+def test_batches_share_both_sides(spark, scenario):
+    ours, theirs = matching.sides(scenario)
+    who = matching.population(scenario).unionByName(
+        spark.createDataFrame([("P", "nobody", "BOTH", "P:nobody")], "provider string, provider_transaction_id string, side string, subject_key string"))
+    shared = m.subjects_beside(who, m.subject_sides(ours, theirs))
+    direct = m.recon_subjects(who, ours, theirs)
+    assert shared.dtypes == direct.dtypes
+    assert sorted(map(str, shared.collect())) == sorted(map(str, direct.collect()))
+    plan = matching.subjects(scenario)._jdf.queryExecution().optimizedPlan().toString()
+    assert "account_code" not in plan
