@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from settlespark.operators import ingest, matching as m
 from settlespark.plans import audit_ops, cases, events, matching
-from settlespark.session import write_new
-from settlespark.sources.scenario import WEBHOOK_SECRET
+from settlespark.sources.scenario import Scenario, WEBHOOK_SECRET
 
 
 def test_audit_of_one_type_needs_its_own_tables_only(scenario, monkeypatch):
@@ -37,12 +36,12 @@ def test_deliveries_are_parsed_and_signed_once(scenario):
     assert told._jdf.queryExecution().optimizedPlan().toString().count("from_json") < again._jdf.queryExecution().optimizedPlan().toString().count("from_json")
 
 
-def test_a_table_of_one_task_is_read_by_many(spark, tmp_path):
+def test_a_domain_table_of_one_task_is_read_by_many(spark, tmp_path):
     rows = spark.range(200_000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
-    path = write_new(rows, "groups")
-    (file,) = [f for f in rows.sparkSession.read.parquet(path).inputFiles()]
+    kept = Scenario(spark, str(tmp_path)).keep("groups", lambda: rows)
+    (file,) = kept.inputFiles()
     assert pq.ParquetFile(file.removeprefix("file://")).num_row_groups > 2
-    assert spark.read.parquet(path).agg(F.count("text"), F.sum("id")).first() == (200_000, sum(range(200_000)))
+    assert kept.agg(F.count("text"), F.sum("id")).first() == (200_000, sum(range(200_000)))
 
 
 def test_batches_share_both_sides(spark, scenario):
