@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from settlespark.operators import ingest, matching as m
-from settlespark.plans import audit_ops, cases, events, matching
+from settlespark.plans import attacks, audit_ops, cases, events, matching
 from settlespark.sources.scenario import Scenario, WEBHOOK_SECRET
 
 
@@ -54,3 +54,10 @@ def test_batches_share_both_sides(spark, scenario):
     assert sorted(map(str, shared.collect())) == sorted(map(str, direct.collect()))
     plan = matching.subjects(scenario)._jdf.queryExecution().optimizedPlan().toString()
     assert "account_code" not in plan
+
+
+def test_ledger_checks_read_one_stored_table_and_join_nothing(spark, scenario):
+    """Legs know the type and source of their posting: bending them needs neither a join nor tables of their own."""
+    entries = attacks.entries(scenario)
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
