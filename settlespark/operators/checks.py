@@ -22,12 +22,12 @@ def ledger_unbalanced(entries: DataFrame) -> DataFrame:
 
 
 def ledger_currency_breaks(headers: DataFrame, entries: DataFrame) -> DataFrame:
-    per = entries.groupBy("transaction_id").agg(
-        F.min("currency").alias("lowest"), F.max("currency").alias("highest"))
-    joined = headers.select(F.col("id").alias("transaction_id"), "currency").join(per, "transaction_id")
-    return joined.filter("lowest <> currency or highest <> currency").select(
-        "transaction_id", F.col("currency").alias("header_currency"), "lowest", "highest",
-        F.expr("lowest <> highest").alias("mixed"))
+    """Currencies are reduced to different ones by hash before the shuffle; only those of broken transactions are sorted."""
+    used = entries.select("transaction_id", F.col("currency").alias("used")).distinct()
+    joined = headers.select(F.col("id").alias("transaction_id"), F.col("currency").alias("header_currency")).join(used, "transaction_id")
+    broken = joined.filter("used <> header_currency").select("transaction_id", "header_currency").distinct()
+    return joined.join(broken, ["transaction_id", "header_currency"], "left_semi").groupBy("transaction_id", "header_currency").agg(
+        F.min("used").alias("lowest"), F.max("used").alias("highest")).withColumn("mixed", F.expr("lowest <> highest"))
 
 
 def ledger_shape_breaks(entries: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from settlespark.operators import ingest, matching as m
+from settlespark.operators import checks, ingest, matching as m
 from settlespark.plans import attacks, audit_ops, cases, events, matching
 from settlespark.sources.scenario import Scenario, WEBHOOK_SECRET
 
@@ -61,3 +61,12 @@ def test_ledger_checks_read_one_stored_table_and_join_nothing(spark, scenario):
     entries = attacks.entries(scenario)
     plan = entries._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_currency_breaks_sort_only_broken_transactions(spark):
+    headers = spark.createDataFrame([("a", "EGP"), ("b", "EGP"), ("c", "USD")], "id string, currency string")
+    entries = spark.createDataFrame([("a", "EGP"), ("a", "JPY"), ("b", "EGP"), ("b", "EGP"), ("c", "EUR")], "transaction_id string, currency string")
+    found = checks.ledger_currency_breaks(headers, entries)
+    assert sorted(map(tuple, found.collect())) == [("a", "EGP", "EGP", "JPY", True), ("c", "USD", "EUR", "EUR", False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") > plan.count("SortAggregate") and "min(currency" not in plan
