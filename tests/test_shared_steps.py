@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from settlespark.operators import checks, ingest, matching as m
 from settlespark.plans import attacks, audit_ops, cases, events, matching
+from settlespark.plans.registry import all_queries
 from settlespark.sources.scenario import Scenario, WEBHOOK_SECRET
 
 
@@ -70,3 +71,14 @@ def test_currency_breaks_sort_only_broken_transactions(spark):
     assert sorted(map(tuple, found.collect())) == [("a", "EGP", "EGP", "JPY", True), ("c", "USD", "EUR", "EUR", False)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") > plan.count("SortAggregate") and "min(currency" not in plan
+
+
+def test_answered_subjects_are_those_of_the_stored_results(scenario, monkeypatch):
+    wanted = sorted(tuple(r) for r in matching._stored_b(scenario).select("batch_id", "subject_key").collect())
+    assert wanted and sorted(tuple(r) for r in matching._answered_b(scenario).collect()) == wanted
+
+    def never(*_):
+        raise AssertionError("what is left to do is told without classifying anything")
+
+    monkeypatch.setattr(matching, "results_b", never)
+    assert all_queries()["unprocessed_subjects"](scenario.spark, scenario.sf_dir).count() > 0
