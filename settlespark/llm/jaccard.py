@@ -1,8 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
 Two sets with similarity t or more differ in at most (|x| + |y|) (1 - t) / (1 + t) elements.  Sets are divided by hash into one more part
-than that (and a few), so two similar sets agree in a whole part: parts with equal content say which sets may be similar, without loss.
-The sets of a connected family of such pairs are then joined exactly: written in one global order they are stored in a prefix tree, and
+than that (and a third more), so two similar sets agree in many whole parts: the number of parts with equal content says which sets may be
+similar, without loss.  The sets of a connected family of such pairs are then joined exactly: written in one global order they are stored in a prefix tree, and
 each set runs through the tree once, along the branches that lead to sets with a rare element in common which are not connected with
 it already, sharing the overlap of common beginnings and leaving a subtree when the remaining length cannot bring enough overlap.
 """
@@ -19,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from settlespark.llm.common import (
-    Forest, column_chunks, components, forest_edges, maybe_in, partitions_of, text_of, without,
+    Forest, column_chunks, components, maybe_in, partitions_of, text_of, without,
 )
-from settlespark.session import written
+from settlespark.session import release, written
 
 #: Elements of all sets that one tree may hold; larger families are joined block against block.
 BLOCK_ELEMENTS = 1_000_000
 #: Parts sent at once.
 FLUSH = 400_000
+#: A part that more sets have is hot: its pairs are not counted.
+HOT = 32
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -88,19 +90,19 @@ def size_classes(percent: int) -> list[int]:
 
 @functools.cache
 def parts_at(level: int, percent: int) -> tuple[int, int, np.ndarray]:
-    """For sets of class level - 1 and level: number of parts, the number of empty parts that is safe, and where parts begin."""
+    """For sets of class level - 1 and level: number of parts, how many of them more than one are sure to be equal, and where parts begin."""
     largest = size_classes(percent)[level + 1] - 1
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    spare = 3 + differ // 20 if differ else 0
+    spare = 3 + differ // 3 if differ else 0
     parts = differ + 1 + spare
     return parts, spare, np.array([(j << 64) // parts for j in range(parts)], dtype=np.uint64)
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a sorted set at its own level and the next.
+def named_parts(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(level, slack, hashes of the parts) of a sorted set at its own level and the next.
 
-    Two similar sets have at least ``spare`` + 1 equal parts.  All of these can be empty only if either set has more than
-    ``spare`` empty parts; only such sets name their empty parts too.
+    Two similar sets have at least ``spare`` + 1 equal parts.  Empty parts are named only by sets with more than ``spare`` of them (slack 0);
+    any other set has as many equal parts less with each empty part: it shares at least slack + 1 names with every similar set.
     """
     own = int(np.searchsorted(size_classes(percent), len(elements), side="right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements))])
@@ -109,38 +111,132 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         parts, spare, begin = parts_at(level, percent)
         cut = np.append(np.searchsorted(elements, begin), len(elements))
         full = cut[1:] > cut[:-1]
-        named = full if parts - full.sum() <= spare else np.ones(parts, dtype=bool)
+        slack = spare - (parts - int(full.sum()))
+        named = full if slack >= 0 else np.ones(parts, dtype=bool)
         names = np.arange(parts, dtype=np.uint64)[named] + np.uint64(level << 32)
-        out.append(_mix(_mix(names) + (sums[cut[1:]] - sums[cut[:-1]])[named]))
-    return np.concatenate(out)
+        out.append((level, max(0, slack), _mix(_mix(names) + (sums[cut[1:]] - sums[cut[:-1]])[named])))
+    return out
+
+
+def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the parts of a sorted set at its own level and the next; two similar sets have one in common."""
+    return np.concatenate([marks for *_, marks in named_parts(elements, percent)])
+
+
+def _short(marks: np.ndarray) -> bytes:
+    """The upper six bytes of each mark.  Marks that are equal by chance only count a part too many."""
+    return marks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
+#: The parts of one set at one level in one bucket: who, level, slack, how many of the marks are its.
+RUN = np.dtype([("owner", "<i8"), ("level", "<i4"), ("slack", "<i4"), ("count", "<i4")])
 FOUND = "bucket int, kind string, first binary, second binary"
+MET = "kind string, a bigint, b bigint, level int, n bigint, need bigint"
+
+
+def _soa(runs: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(runs[f]).tobytes() for f in RUN.names)
+
+
+def _runs(raw: bytes) -> np.ndarray:
+    out, at = np.empty(len(raw) // RUN.itemsize, dtype=RUN), 0
+    for f in RUN.names:
+        kind = RUN[f]
+        out[f] = np.frombuffer(raw, kind, len(out), at)
+        at += kind.itemsize * len(out)
+    return out
+
+
+def _met(kind: str, a, b, level, n, need) -> pa.RecordBatch:
+    columns = [pa.array([kind] * len(a), pa.string())]
+    columns += [pa.array(c, k) for c, k in zip((a, b, level, n, need), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "level", "n", "need"])
+
+
+def _counted(run: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (x, y) of positions in ``run``, with how often each comes."""
+    pairs, n = np.unique(x * len(run) + y, return_counts=True)
+    return pairs // len(run), pairs % len(run), n
+
+
+def meetings(marks: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of ``MET`` that the parts of one bucket give; ``run`` is in the order of ``marks``.
+
+    "pair": two sets, how many parts they share here, and how many they share in all at least if they are similar.  "hot": a set, the
+    least set of a part that more than ``HOT`` sets have, how many such parts, and how many a set may have without being linked over them.
+    """
+    who = np.repeat(np.arange(len(run)), run["count"])
+    order = np.lexsort((run["owner"][who], marks))
+    marks, who = marks[order], who[order]
+    begins = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+    sizes = np.diff(np.append(begins, len(marks)))
+    hot = np.repeat(sizes > HOT, sizes)
+    if hot.any():
+        hub = np.repeat(who[begins], sizes)
+        x, y, n = _counted(run, who[hot], hub[hot])
+        yield _met("hot", run["owner"][x], run["owner"][y], run["level"][x], n, run["slack"][x] // 2)
+    xs, ys, waiting = [], [], 0
+
+    def told() -> pa.RecordBatch:
+        nonlocal waiting
+        x, y, n = _counted(run, np.concatenate(xs), np.concatenate(ys))
+        xs.clear()
+        ys.clear()
+        waiting = 0
+        right = (run["level"][x] == run["level"][y]) & (run["owner"][x] != run["owner"][y])
+        x, y, n = x[right], y[right], n[right]
+        slack = np.minimum(run["slack"][x], run["slack"][y])
+        return _met("pair", run["owner"][x], run["owner"][y], run["level"][x], n, slack + 1 - slack // 2)
+
+    for size in range(2, HOT + 1):
+        i, j = np.triu_indices(size, 1)
+        groups, step = begins[sizes == size], max(1, FLUSH // len(i))
+        for at in range(0, len(groups), step):
+            members = who[groups[at:at + step, None] + np.arange(size)]
+            xs.append(members[:, i].ravel())
+            ys.append(members[:, j].ravel())
+            waiting += xs[-1].size
+            if waiting >= 4 * FLUSH:
+                yield told()
+    if waiting:
+        yield told()
 
 
 def _families(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """kind, a, b: ("size", doc_id, set size) for every row and ("pair", doc_id, doc_id) linking rows with an equal part.
+    """kind, a, b and more (see ``MET``): ("size", doc_id, set size) for every row, ("pair", doc_id, doc_id) and ("hot", doc_id, doc_id) for rows with an equal part.
 
-    Parts travel as arrays, dealt by hash into as many buckets as there are shuffle partitions.
+    Parts travel as arrays, dealt by hash into as many buckets as there are shuffle partitions.  Of equal sets that a task makes, one sends its parts.
     """
     buckets = partitions_of(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, owners, waiting = [], [], 0
+        met: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
             nonlocal waiting
             if held:
                 marks = np.concatenate(held)
-                ids = np.repeat(np.array([o[0] for o in owners], dtype=np.int64), [o[1] for o in owners])
-                order = np.argsort(marks)
-                marks, ids = marks[order], ids[order]
-                ends = np.searchsorted(marks, np.array([(j << 64) // buckets for j in range(buckets)], dtype=np.uint64))
-                ends = np.append(ends, len(marks))
+                run = np.array(owners, dtype=RUN)
+                who = np.repeat(np.arange(len(run)), run["count"])
+                begin = np.array([(j << 64) // buckets for j in range(buckets)], dtype=np.uint64)
+                bucket = np.searchsorted(begin, marks, side="right") - 1
+                order = np.argsort(bucket, kind="stable")
+                marks, who = marks[order], who[order]
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for j in range(buckets):
                     if ends[j + 1] > ends[j]:
-                        rows.append((j, "part", marks[ends[j]:ends[j + 1]].tobytes(), ids[ends[j]:ends[j + 1]].tobytes()))
+                        some, count = np.unique(who[ends[j]:ends[j + 1]], return_counts=True)
+                        here = run[some]
+                        here["count"] = count
+                        rows.append((j, "part", _short(marks[ends[j]:ends[j + 1]]), _soa(here)))
             held.clear()
             owners.clear()
             waiting = 0
@@ -155,66 +251,60 @@ def _families(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = shingler(n).sets(batch.column(1).to_pylist())
             rows.append((serial % buckets, "size", np.array([i is None for i in ids], dtype=np.int8).tobytes()
                          + np.array([i or 0 for i in ids], dtype="<i8").tobytes(), np.array([len(s) for s in sets], dtype="<i8").tobytes()))
-            serial += 1
+            equal = []
             for i, s in zip(ids, sets):
                 if len(s) and i is not None:
-                    marks = signatures(s, percent)
-                    held.append(marks)
-                    owners.append((i, len(marks)))
-                    waiting += len(marks)
+                    like = met.setdefault(xxhash.xxh3_128_digest(s.tobytes()), i)
+                    if like != i:
+                        equal.append((i, like))
+                        continue
+                    for level, slack, marks in named_parts(s, percent):
+                        held.append(marks)
+                        owners.append((i, level, slack, len(marks)))
+                        waiting += len(marks)
+            if equal:
+                rows.append((serial % buckets, "equal", *[np.array(c, dtype="<i8").tobytes() for c in zip(*equal)]))
+            serial += 1
             if waiting >= FLUSH:
                 yield flush()
         yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, ids = [], []
-        kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
-        names = ["bucket", "kind", "first", "second"]
-        for batch in batches:
-            at, kind, first, second = (c.to_pylist() for c in batch.columns)
-            for f, s in ((f, s) for k, f, s in zip(kind, first, second) if k == "part"):
-                marks.append(np.frombuffer(f, np.uint64))
-                ids.append(np.frombuffer(s, np.int64))
-            rest = [i for i, k in enumerate(kind) if k != "part"]
-            if rest:
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in rest], k) for c, k in zip((at, kind, first, second), kinds)], names)
-        if marks:
-            mark, owner = np.concatenate(marks), np.concatenate(ids)
-            marks.clear()
-            ids.clear()
-            order = np.lexsort((owner, mark))
-            mark, owner = mark[order], owner[order]
-            begins = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
-            least = np.repeat(owner[begins], np.diff(np.append(begins, len(mark))))
-            apart = owner != least
-            a, b = forest_edges(owner[apart], least[apart])
-            bucket = (_mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            a, b, bucket = a[order], b[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            some = [j for j in range(buckets) if ends[j + 1] > ends[j]]
-            bodies = [[c[ends[j]:ends[j + 1]].tobytes() for j in some] for c in (a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((some, ["pair"] * len(some), *bodies), kinds)], names)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The same pair comes from many buckets; each is told once."""
-        pairs = []
-        kinds = [pa.string(), pa.int64(), pa.int64()]
+        marks, runs = [], []
         for batch in batches:
             for kind, first, second in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                if kind == "pair":
-                    pairs.append(np.stack([np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)]))
+                if kind == "part":
+                    marks.append(_long(first))
+                    runs.append(_runs(second))
+                    continue
+                values = np.frombuffer(second, "<i8")
+                none = np.zeros(len(values), dtype=np.int64)
+                if kind == "equal":
+                    yield _met("pair", np.frombuffer(first, "<i8"), values, none, none + 1, none)
                     continue
-                sizes = np.frombuffer(second, "<i8")
-                nulls, values = np.frombuffer(first[: len(sizes)], np.int8).astype(bool), np.frombuffer(first[len(sizes):], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(["size"] * len(sizes), kinds[0]), pa.array(values, kinds[1], mask=nulls), pa.array(sizes, kinds[2])], ["kind", "a", "b"])
-        if pairs:
-            a, b = forest_edges(*np.concatenate(pairs, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(a), kinds[0]), pa.array(a, kinds[1]), pa.array(b, kinds[2])], ["kind", "a", "b"])
+                nulls, ids = np.frombuffer(first[: len(values)], np.int8).astype(bool), np.frombuffer(first[len(values):], "<i8")
+                yield _met("size", pa.array(ids, pa.int64(), mask=nulls), values, none, none, none)
+        if marks:
+            mark, run = np.concatenate(marks), np.concatenate(runs)
+            marks.clear()
+            runs.clear()
+            yield from meetings(mark, run)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(cut, FOUND)
-    met = rows.repartition(buckets, "bucket").mapInArrow(meet, FOUND)
-    return met.repartition(buckets, "bucket").mapInArrow(settle, "kind string, a bigint, b bigint")
+    return rows.repartition(buckets, "bucket").mapInArrow(meet, MET)
+
+
+def _near(facts: DataFrame) -> DataFrame:
+    """a, b: links that connect all similar sets, and few others.
+
+    A set with at most slack / 2 hot parts shares more than slack / 2 other parts with each similar set: those pairs are counted.  Two sets with
+    more hot parts each are linked over the least set of a part as soon as they share a hot one.
+    """
+    pairs = facts.where("kind = 'pair'").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level", "n", "need")
+    counted = pairs.groupBy("a", "b", "level").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    hot = facts.where("kind = 'hot'")
+    poor = hot.groupBy("a", "level").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n > need").select("a", "level")
+    return counted.unionByName(hot.join(poor, ["a", "level"], "left_semi").select("a", "b"))
 
 
 class Tree:
@@ -350,14 +440,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     intersection is at least ``percent`` times the union; a component is named by its least doc_id.  Empty sets, null texts and null ids
     link with nothing.  Repeated rows link with their like; rows with one doc_id are one node.
 
-    Only parts (some 0.4 numbers per word) and the sets of rows with a partner are shuffled.  Equal sets are reduced to one in the
+    Only parts (some 0.7 of six bytes per word), pairs of sets with a common part and the sets of rows with a partner are shuffled.  Equal sets are reduced to one in the
     task that makes them, before they are sent, and the links between them are dealt by hash, apart from the trees.  A family with more elements than fit one tree is cut into blocks by hash and joined
     block against block, so no task holds more than two blocks.
     """
     spark = docs.sparkSession
     facts = written(_families(docs, n, percent), "jaccard-parts")
     sizes = facts.where("kind = 'size'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    family = components(facts.where("kind = 'pair'").select("a", "b"), "jaccard-families")
+    release(spark)
+    family = components(_near(facts), "jaccard-families")
     everyone = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
     measured = everyone.join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), F.col("node") == F.col("doc_id")).select("node", "component", "n")
     blocks = measured.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
