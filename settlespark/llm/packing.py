@@ -20,19 +20,33 @@ PIECE = 512
 GROUP = 32
 #: Per cent of a group that is filled before it is balanced: a little room lets differencing succeed without one more window.
 FILL = 99
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a worker remembers, in two halves: those met since the halves last changed, and those met before that.
 REMEMBERED = 500_000
+#: Words tokenized at once.
+AT_ONCE = 200
+#: Marks that often end a word.
+MARKS = {b".", b",", b";", b":", b"!", b"?"}
 
 PACKED = (
     "doc_id bigint, start bigint, length bigint, token_ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """Parts that are tokenized apart with the same ids, and are shared by more words.
+
+    A mark behind an ASCII letter is a pre-token of its own, and ASCII words are lower-cased by the tokenizer anyway.
+    """
+    if len(word) > 1 and word[-1:] in MARKS and word[-2:-1].isalpha():
+        return (*_parts(word[:-1]), word[-1:])
+    return (word.lower() if word.isascii() else word,)
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer whose pre-tokens never hold white space.
 
-    Then the ids of a text are those of its words in turn, and each distinct word is tokenized once per worker.  The memory is
-    emptied when it is full; that costs time, never a different result.
+    Then the ids of a text are those of its words in turn, and each distinct word is tokenized once per worker.  When the newer half of the
+    memory is full it becomes the older one, and what was not met since is forgotten; that costs time, never a different result.
     """
 
     def __init__(self, path: str):
@@ -41,32 +55,38 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at:at + AT_ONCE]
             # One text with single spaces: the offsets say which word an id belongs to.
             texts = [w.decode() for w in part]
             starts = np.cumsum([0] + [len(t) + 1 for t in texts])
             got = self.own.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4")
             owner = np.searchsorted(starts, np.array([o[0] for o in got.offsets], dtype=np.int64), side="right") - 1
-            ends = np.searchsorted(owner, np.arange(len(part) + 1))
+            ends = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
             raw = ids.tobytes()
-            for i, word in enumerate(part):
-                self.known[word] = raw[4 * ends[i]:4 * ends[i + 1]]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        known, older = self.known, self.older
+        missing = set().union(*split).difference(known)
+        known.update((w, older[w]) for w in missing if w in older)
+        new = missing.difference(known)
         if new:
-            self._learn(new)
+            parts = {w: _parts(w) for w in new}
+            stems = {p for found in parts.values() for p in found}.difference(known)
+            known.update((w, older[w]) for w in stems if w in older)
+            self._learn(list(stems.difference(known)))
+            known.update((w, b"".join([known[p] for p in found])) for w, found in parts.items())
         get = known.__getitem__
         found = [b"".join(map(get, words)) for words in split]
-        if len(known) > REMEMBERED:  # only between the texts at hand, all of whose words have just been looked up
-            known.clear()
+        if len(known) > REMEMBERED // 2:  # only between the texts at hand, all of whose words have just been looked up
+            self.older, self.known = known, {}
         return found
 
 

@@ -128,3 +128,17 @@ def _check_shards(found, rows, shards):
     assert max(loads.values()) == _least_capacity([t for _, t in rows], shards)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(w) == 1 for w in where.values())
+
+
+def test_words_met_again_and_other_spellings_are_not_tokenized_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    own, asked, plain = packing.WordTokenizer(WORD), [], Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    learn = own._learn
+    own._learn = lambda words: (asked.extend(words), learn(words))
+    rnd = random.Random(2)
+    odd = ["J\u030c.", "I\u0307!", "E\u0301,", "don't.", "it's.", "A.B.", "a..", "x1.", "1.", ".", "\u00c9t\u00e9.", "\u212aelvin?", "e\u0301.", "Z."]
+    for _ in range(30):
+        texts = [f"Common common. COMMON, {rnd.choice(odd)} " + " ".join(f"w{rnd.getrandbits(30)}" for _ in range(6)) for _ in range(2)]
+        assert own.ids(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert asked.count(b"common") == 1 and not {b"Common", b"common.", b"COMMON,"} & set(asked)
