@@ -96,3 +96,31 @@ def test_pairs_of_ordinary_words_are_enough(spark):
     found = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(found[i].held_out for i in held) and sum(found[i].predicted == rows[i][1] for i in held) >= 0.97 * len(held)
+
+
+def test_a_model_larger_than_one_broadcast_is_whole(spark, monkeypatch):
+    """Nothing of it is left out: scores are those of a model in one piece, also of rows that are there twice or have no text."""
+    rows = _texts(600)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(3, rows[3][0]), (3, "wa wb"), (9000, None), (None, "wa wb")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    told = lambda: sorted((-1 if r.doc_id is None else r.doc_id, r.score, r.predicted) for r in toxicity.score(docs, labels).collect())
+    whole = told()
+    learned = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), (400, 200))
+    monkeypatch.setattr(toxicity, "PIECE", -(-learned.size // 3))
+    learned = toxicity.Learned(learned.entries, learned.size, learned.rest)
+    assert learned.pieces > 1 and learned.size == sum(len(m.words) + len(m.pairs) for m in learned.models())
+    pieces = told()
+    assert len(pieces) == len(rows) + 4
+    assert [(i, p) for i, _, p in pieces] == [(i, p) for i, _, p in whole] and np.allclose([s for _, s, _ in pieces], [s for _, s, _ in whole], rtol=0, atol=1e-9)
+
+
+def test_all_rows_of_the_fold_calibrate(spark):
+    """The sums of a step are those of all rows: equal to the steps in one process."""
+    rnd = random.Random(3)
+    y = [int(rnd.random() < 0.3) for _ in range(30_000)]
+    x = [rnd.gauss(0.02 if t else -0.02, 0.03) for t in y]
+    a, beta = np.stack([np.ones(len(x)), np.arcsinh(np.array(x) * 100)], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+        beta += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * 1e-2, a.T @ (np.array(y) - p) - 1e-2 * beta)
+    assert np.allclose(toxicity.calibrate(spark.createDataFrame(list(zip(x, y)), "difference double, toxic int")), beta, rtol=0, atol=1e-8)
